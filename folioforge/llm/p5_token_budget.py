@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.trie import BpeCount, DoubleArrayTrie
 from folioforge.llm.vocab import SEGMENT, SPLIT, TOKENIZERS, Memo, read_ranks
+from folioforge.operators.skew import heavy_lookup
+from folioforge.session import written
 
 
 def segment_counter(ranks: dict[bytes, int], trie: DoubleArrayTrie):
@@ -52,20 +54,43 @@ def plain_lang(lang):
     return F.when(base.isNull() | base.isin("", "und"), F.lit("unknown")).otherwise(base)
 
 
-def token_budget(items: DataFrame, papers: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
-    """(slice, source, lang, section, n_items, n_tokens): totals by paper source and language, and by section.
+def counted_once(items: DataFrame, vocabulary: str) -> DataFrame:
+    """(item_id, source_doc, section, n_tokens), one row an item, written.
 
-    slice is 'source_lang' (section null) or 'section' (source and lang null). Each item_id counts once: of rows that
-    differ the one with the most tokens, ties by source_doc and section. Rows without item_id are the same item if they
-    are equal in paper, section and number of tokens. Items whose paper is missing, null or has no source are 'unknown';
-    a null section is 'unknown'. Empty tables give no row.
+    Of rows of one item_id that differ the one with the most tokens counts, ties by source_doc and section. Rows without item_id are
+    the same item if they are equal in paper, section and number of tokens.
     """
     counted = token_counts(items, "text", vocabulary, ["item_id", "source_doc", "section"])
     alone = F.when(F.col("item_id").isNull(), F.struct("source_doc", "section", "n_tokens"))
     once = counted.groupBy("item_id", alone.alias("alone")).agg(F.max(F.struct("n_tokens", "source_doc", "section")).alias("r"))
-    by_paper = once.groupBy(F.col("r.source_doc").alias("source_doc"), F.coalesce("r.section", F.lit("unknown")).alias("section")).agg(F.count(F.lit(1)).alias("n_items"), F.sum("r.n_tokens").alias("n_tokens"))
-    facts = papers.groupBy("source_doc").agg(F.min(F.struct("source", "lang")).alias("p")).where("source_doc is not null")
-    joined = by_paper.join(facts, "source_doc", "left").select(F.coalesce("p.source", F.lit("unknown")).alias("source"), plain_lang(F.col("p.lang")).alias("lang"), "section", "n_items", "n_tokens")
+    return once.select("item_id", "r.source_doc", F.coalesce("r.section", F.lit("unknown")).alias("section"), "r.n_tokens")
+
+
+def paper_facts(papers: DataFrame) -> DataFrame:
+    facts = papers.where("source_doc is not null").groupBy("source_doc").agg(F.min(F.struct("source", "lang")).alias("p"))
+    return facts.select("source_doc", F.coalesce("p.source", F.lit("unknown")).alias("source"), plain_lang(F.col("p.lang")).alias("lang"))
+
+
+def item_tokens(items: DataFrame, papers: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """(item_id, source, lang, section, n_tokens): each item once, with the slices it belongs to.
+
+    Items whose paper is missing, null or has no source are 'unknown' there; null sections too. Null and empty texts have 0 tokens.
+    """
+    once = written(counted_once(items, vocabulary), "counted").withColumn("paper", F.coalesce("source_doc", F.lit(""))).drop("source_doc")
+    unknown = F.lit("unknown")
+    used = once.groupBy("paper").agg(F.count(F.lit(1)).alias("n"))
+    table = used.join(paper_facts(papers).withColumnRenamed("source_doc", "paper"), "paper", "left").select("paper", "n", F.coalesce("source", unknown).alias("source"), F.coalesce("lang", unknown).alias("lang"))
+    return heavy_lookup(once, table, ["paper"], "n", once.count()).select("item_id", "source", "lang", "section", "n_tokens")
+
+
+def token_budget(items: DataFrame, papers: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """(slice, source, lang, section, n_items, n_tokens): totals by paper source and language, and by section.
+
+    slice is 'source_lang' (section null) or 'section' (source and lang null). Items count as in item_tokens. Empty tables give no row.
+    """
+    once = counted_once(items, vocabulary)
+    by_paper = once.groupBy("source_doc", "section").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_tokens").alias("n_tokens"))
+    joined = by_paper.join(paper_facts(papers), "source_doc", "left").select(F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("lang", F.lit("unknown")).alias("lang"), "section", "n_items", "n_tokens")
     slices = F.array(
         F.struct(F.lit("source_lang").alias("slice"), F.col("source").alias("source"), F.col("lang").alias("lang"), F.lit(None).cast("string").alias("section")),
         F.struct(F.lit("section").alias("slice"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.col("section").alias("section")),
@@ -73,6 +98,11 @@ def token_budget(items: DataFrame, papers: DataFrame, vocabulary: str = f"{TOKEN
     return joined.select(F.explode(slices).alias("s"), "n_items", "n_tokens").groupBy("s").agg(F.sum("n_items").alias("n_items"), F.sum("n_tokens").alias("n_tokens")).select("s.*", "n_items", "n_tokens")
 
 
+def p5_tokens(spark, sf_dir: str) -> DataFrame:
+    """Tokens of each item by byte_bpe_50k, with its source, language and section."""
+    return item_tokens(spark.read.parquet(f"{sf_dir}/items.parquet"), spark.read.parquet(f"{sf_dir}/papers.parquet"))
+
+
 def p5_token_budget(spark, sf_dir: str) -> DataFrame:
     """Tokens of items by byte_bpe_50k, by paper source and language and by section."""
     return token_budget(spark.read.parquet(f"{sf_dir}/items.parquet"), spark.read.parquet(f"{sf_dir}/papers.parquet"))
