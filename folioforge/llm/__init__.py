@@ -6,12 +6,14 @@ import importlib
 
 #: Modules and the queries each has.
 MODULES = {
+    "p1_reading_level": ["p1_found", "p1_levels"],
     "p3_format_dups": ["p3_found", "p3_entries"],
     "p4_near_dups": ["p4_found", "p4_groups"],
     "p5_token_budget": ["p5_tokens", "p5_token_budget"],
     "p6_lookalike": ["p6_found", "p6_text"],
     "p7_encode": ["p7_ids"],
     "p8_packing": ["p8_containers", "p8_fill"],
+    "p9_truncation": ["p9_found", "p9_sources"],
 }
 
 
