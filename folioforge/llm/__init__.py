@@ -7,6 +7,7 @@ import importlib
 #: Modules and the queries each has.
 MODULES = {
     "p1_reading_level": ["p1_found", "p1_levels"],
+    "p2_ocr": ["p2_found", "p2_paragraphs"],
     "p3_format_dups": ["p3_found", "p3_entries"],
     "p4_near_dups": ["p4_found", "p4_groups"],
     "p5_token_budget": ["p5_tokens", "p5_token_budget"],

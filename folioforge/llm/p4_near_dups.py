@@ -13,6 +13,7 @@ Bands are joined with themselves by sort-merge join, whose skewed keys adaptive
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,27 @@ def shingles(text: str | None, width: int = 3) -> np.ndarray:
     return np.unique(mixed(total))
 
 
+def shingle_batch(texts: list[str | None], width: int = 3) -> list[np.ndarray]:
+    """shingles() of each text, with the arithmetic done once for all of them."""
+    words = [_words(t.lower()) if t else [] for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.fromiter(map(_memo.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+    n = max(0, len(flat) - width + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(width):
+        total = (total + flat[k : k + n]) * _odd[k % 3]
+    total, ends = mixed(total), np.cumsum(sizes)
+    out = []
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        s = total[a : max(a, b - width + 1)]
+        s.sort()
+        fresh = np.empty(len(s), bool)
+        fresh[:1] = True
+        np.not_equal(s[1:], s[:-1], out=fresh[1:])
+        out.append(s[fresh])
+    return out
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if both else 0.0
@@ -78,19 +100,19 @@ class Circulant:
         return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band, which differs between bands."""
-    parts = signature.reshape(BANDS, ROWS).astype(np.uint64)
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """Of each signature, one 64-bit key for each band, which differs between bands."""
+    parts = signatures.reshape(-1, BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
-        key = mixed((key ^ parts[:, k]) * _odd[k % 3])
+        key = mixed((key ^ parts[:, :, k]) * _odd[k % 3])
     return key.view(np.int64)
 
 
-def bits(signature: np.ndarray) -> np.ndarray:
-    """One bit of each of 256 coordinates, as four integers."""
-    low = mixed(signature[:BITS].astype(np.uint64)) & np.uint64(1)
-    return np.packbits(low.astype(np.uint8)).view(np.int64)
+def bits(signatures: np.ndarray) -> np.ndarray:
+    """Of each signature, one bit of each of 256 coordinates, as four integers."""
+    low = mixed(signatures[:, :BITS].astype(np.uint64)) & np.uint64(1)
+    return np.packbits(low.astype(np.uint8), axis=1).view(np.int64)
 
 
 def _class(s: np.ndarray) -> tuple[int, int]:
@@ -106,13 +128,16 @@ def sketched(rows: DataFrame) -> DataFrame:
     def run(batches):
         make = Circulant(BITS)
         for b in batches:
-            out = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(text)
-                if len(s):
-                    out.append((key, *_class(s), len(s), *bits(make.signature(s)).tolist()))
-            cols = list(zip(*out)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["id", "cls", "cls2", "n", "b0", "b1", "b2", "b3"])
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                sets = shingle_batch(part.column(1).to_pylist())
+                at = [k for k, s in enumerate(sets) if len(s)]
+                if at:
+                    classes = np.array([_class(sets[k]) for k in at], np.int64)
+                    four = bits(np.stack([make.signature(sets[k]) for k in at]))
+                    n = np.array([len(sets[k]) for k in at], np.int64)
+                    numbers = [classes[:, 0], classes[:, 1], n, *four.T]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *(pa.array(np.ascontiguousarray(c)) for c in numbers)], names=["id", "cls", "cls2", "n", "b0", "b1", "b2", "b3"])
 
     return rows.mapInArrow(run, "id string, cls long, cls2 long, n long, b0 long, b1 long, b2 long, b3 long")
 
@@ -125,17 +150,17 @@ def banded(rows: DataFrame) -> DataFrame:
         for b in batches:
             texts = b.column(0).to_pylist()
             for i in range(0, len(texts), 500):
-                keys, classes = [], []
-                for text in texts[i : i + 500]:
-                    s = shingles(text)
+                fresh, classes = [], []
+                for s in shingle_batch(texts[i : i + 500]):
                     if len(s) and (c := _class(s)[0]) not in seen:
                         if len(seen) > 1_000_000:
                             seen.clear()
                         seen.add(c)
-                        keys.append(band_keys(make.signature(s)))
+                        fresh.append(make.signature(s))
                         classes.append(c)
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(classes, np.int64), BANDS))], names=["key", "cls"])
+                if fresh:
+                    keys = band_keys(np.stack(fresh)).reshape(-1)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array(classes, np.int64), BANDS))], names=["key", "cls"])
 
     return rows.select("text").mapInArrow(run, "key long, cls long")
 
