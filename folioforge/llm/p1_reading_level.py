@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.p6_lookalike import SUSPECT, Rewriter, rewrites
+from folioforge.llm.vocab import Memo
 
 MOST_LABELLED = 8000
 HASHED = 1024
 DENSE = 26
 _word = re.compile("[a-z]+(?:['’-][a-z]+)*").findall
+_latin = re.compile("[A-Za-z]")
 _cjk = re.compile("[一-鿿]")
 _option = re.compile(r"(?m)^\s*(?:[A-G]\s*[.．].*|\d{1,3}\s*[.．].*|Dear [^\n]{1,30},|Yours[^\n]{0,12},[^\n]*|Best wishes,[^\n]*)$|_+\d*_+(?:\s*\([a-z]+\))?")
 _end = re.compile(r"[.!?。！？]+[\"”']?(?:\s|$)|\n")
@@ -36,61 +38,49 @@ class Features:
     """Vectors of texts."""
 
     def __init__(self):
-        self.index: dict[str, int] = {}
-        self.rows: list[tuple] = []
-        self.table = np.empty((0, 6))
+        self.words = Memo(self.of_word, 100_000, 64)
         self.rewriter = Rewriter(rewrites({chr(i): 1 for i in range(128)}))
 
-    def of_word(self, w: str) -> int:
-        i = self.index.get(w)
-        if i is None:
-            import xxhash
+    @staticmethod
+    def of_word(w: str) -> np.ndarray:
+        import xxhash
 
-            if len(self.rows) >= 200_000:
-                self.index.clear()
-                self.rows.clear()
-                self.table = np.empty((0, 6))
-            i = self.index[w] = len(self.rows)
-            self.rows.append((xxhash.xxh32_intdigest(w) % HASHED, len(w), max(1, len(_vowels.findall(w))), bool(_ENDINGS.search(w)), w in _JOINING, w in _SIMPLE))
-        return i
+        n, syl = len(w), max(1, len(_vowels.findall(w)))
+        return np.array([n, n * n, n >= 7, n >= 9, n >= 11, n >= 13, syl, syl >= 3, syl >= 4, syl >= 5, bool(_ENDINGS.search(w)), w in _JOINING, w in _SIMPLE, xxhash.xxh32_intdigest(w) % HASHED], np.float64)
 
     def plain(self, text: str) -> str:
         return self.rewriter.rewrite(text)[0] if not text.isascii() and SUSPECT.search(text) else text
 
-    def vector(self, text: str) -> np.ndarray:
+    def english(self, text: str | None) -> np.ndarray | None:
+        """The vector of a text in which Latin words outnumber Chinese characters, else None."""
+        if not text:
+            return None
         text = self.plain(text)
+        if not text.isascii():
+            chinese = len(_cjk.findall(text))
+            if chinese and len(_word(text.lower())) <= chinese:
+                return None
+        return self.vector(text) if _latin.search(text) else None
+
+    def vector(self, text: str) -> np.ndarray:
         body = _option.sub(" ", text)
         if len(body) < 0.3 * len(text):
             body = text
         words = _word(body.lower())
         if not words:
             return np.zeros(DENSE + HASHED, np.float32)
-        if len(self.rows) + len(words) > 200_000:  # so that the indices of one text belong together
-            self.index.clear()
-            self.rows.clear()
-            self.table = np.empty((0, 6))
-        at = np.fromiter(map(self.of_word, words), np.int64, len(words))
-        if len(self.table) < len(self.rows):
-            self.table = np.array(self.rows, np.float64)
-        t = self.table[at]
-        n, length, syl = len(words), t[:, 1], t[:, 2]
+        n = len(words)
+        t = np.concatenate(list(map(self.words.__getitem__, words))).reshape(n, 14)
+        m = t[:, :13].mean(0)
         ends = [m.start() for m in _end.finditer(body)]
         sizes = np.diff([0, *ends, len(body)])
         sizes = np.sort(sizes[sizes > 5]) if (sizes > 5).any() else np.array([len(body)])
         commas = body.count(",")
         dense = [
-            length.mean(), length.std(), (length >= 7).mean(), (length >= 9).mean(), (length >= 11).mean(), (length >= 13).mean(), syl.mean(), (syl >= 3).mean(), (syl >= 4).mean(), (syl >= 5).mean(),
-            t[:, 3].mean(), t[:, 4].mean(), t[:, 5].mean(), len(set(words)) / n, np.log(sizes.mean()), np.log(np.median(sizes)), np.log(sizes[-1]), np.log(sizes[len(sizes) // 4]), np.log(sizes[3 * len(sizes) // 4]),
+            m[0], np.sqrt(max(0.0, m[1] - m[0] ** 2)), *m[2:], len(set(words)) / n, np.log(sizes.mean()), np.log((sizes[(len(sizes) - 1) // 2] + sizes[len(sizes) // 2]) / 2), np.log(sizes[-1]), np.log(sizes[len(sizes) // 4]), np.log(sizes[3 * len(sizes) // 4]),
             commas / n, body.count(";") / n, body.count('"') / n, body.count("?") / n, body.count("-") / n, commas / len(sizes), np.log(1 + n),
         ]
-        return np.concatenate([dense, np.sqrt(np.bincount(t[:, 0].astype(np.int64), minlength=HASHED) / n)]).astype(np.float32)
-
-    def english(self, text: str | None) -> bool:
-        """Whether Latin words outnumber Chinese characters in the text."""
-        if not text:
-            return False
-        text = self.plain(text)
-        return len(_word(text.lower())) > len(_cjk.findall(text))
+        return np.concatenate([dense, np.sqrt(np.bincount(t[:, 13].astype(np.int64), minlength=HASHED) / n)]).astype(np.float32)
 
 
 def rank(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, rounds: int = 400, decay: float = 1e-4, seed: int = 3) -> np.ndarray:
@@ -138,13 +128,12 @@ class Model:
         self.w = rank(z, y)
         s = z @ self.w
         # for each step k, the chance that a text of score s is of level k or more
+        self.scaled = self.w * np.where(np.arange(x.shape[1]) < DENSE, 1.0, 0.3) / self.std
         self.steps = [isotonic(s, np.clip(y - k + 1, 0, 1)) for k in range(2, 7)]
 
     def chances(self, x: np.ndarray) -> np.ndarray:
         """Of each text, the calibrated chances of level 2, 3, ... 6 or more; falling in the level, rising in the score."""
-        z = (x - self.mean) / self.std
-        z[:, DENSE:] *= 0.3
-        s = z @ self.w
+        s = x @ self.scaled - self.mean @ self.scaled
         return np.minimum.accumulate(np.stack([np.interp(s, *f) for f in self.steps], 1), 1)
 
 
@@ -157,7 +146,7 @@ def graded(items: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tu
     def run(batches):
         f = Features()
         for b in batches:
-            out = [(y, f.vector(t).tolist()) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if f.english(t)]
+            out = [(y, v.tolist()) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (v := f.english(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in out], pa.float64()), pa.array([v for _, v in out], pa.list_(pa.float32()))], names=["y", "v"])
 
     got = rows.select("text", "y").mapInArrow(run, "y double, v array<float>").toArrow()  # at most `most` rows
@@ -181,7 +170,7 @@ def levels(items: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Da
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
                 texts = part.column(1).to_pylist()
-                vectors = {k: f.vector(t) for k, t in enumerate(texts) if model and f.english(t)}
+                vectors = {k: v for k, t in enumerate(texts) if model and (v := f.english(t)) is not None}
                 out: list = [None] * len(texts)
                 if vectors:
                     chances = model.chances(np.array(list(vectors.values()), np.float64))

@@ -108,7 +108,7 @@ class Rewriter:
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Words in which a Greek or Cyrillic letter stands next to a Latin one."""
-        return [m.span() for m in self.words.finditer(text) if self.mixed.search(m[0])]
+        return [m.span() for m in self.words.finditer(text) if self.mixed.search(m[0])] if self.mixed.search(text) else []
 
     def once(self, text: str) -> tuple[str, set[str]]:
         spans, kinds, out, at = self.spans(text), set(), [], 0
