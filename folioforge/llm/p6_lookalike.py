@@ -3,7 +3,7 @@
 Method. Look-alikes are pairs of strings: full-width letters and digits with their plain forms, a letter and a combining accent with
 the composed letter, invisible characters with nothing, spaces with U+0020 (all by rule) and Greek and Cyrillic letters
 with the Latin ones they look like (a fixed table). Union-find over these strings and code points gives transitive classes;
-of each the representative is a shortest member, among these the one most frequent in the whole corpus. A
+of each the representative is a shortest member, among these the one most frequent in the whole corpus (see rewrites). A
 multi-pattern automaton rewrites the other members greedily, leftmost and longest first, until nothing changes. Greek and Cyrillic
 letters are rewritten only in words where one stands next to a Latin letter: elsewhere they belong there, as
 do full-width punctuation, composed accents, circled and Roman numerals, for which there is no pair.
@@ -77,14 +77,27 @@ def look_alikes() -> list[tuple[str, str]]:
     return [*wide, *composed().items(), *((c, "") for c in INVISIBLE), *((c, " ") for c in SPACES), *GREEK.items(), *CYRILLIC.items()]
 
 
+def kind_of(s: str) -> str:
+    return "foreign" if s in GREEK or s in CYRILLIC else "wide" if s in WIDE else "plain"
+
+
 def rewrites(frequency: dict[str, int]) -> dict[str, str]:
-    """Each member of a class that isn't its representative, with the representative."""
+    """Each member of a class that isn't its representative, with the representative.
+
+    That is a shortest member, of the kind (plain or wide letters) that the corpus has more of, so that one kind is used throughout, and of these the most
+    frequent. Greek and Cyrillic letters don't represent a class with others: they are only rewritten within mixed words, Latin ones would be everywhere.
+    """
     classes = Classes()
     for a, b in look_alikes():
         classes.join(a, b)
+    total = {"plain": 0, "wide": 0, "foreign": 0}
+    for c in classes.members():
+        if any(s in WIDE for s in c):
+            for s in c:
+                total[kind_of(s)] += frequency.get(s, 0)
     out = {}
     for c in classes.members():
-        best = min(c, key=lambda s: (len(s), -frequency.get(s, 0), s))
+        best = min(c, key=lambda s: (len(s), kind_of(s) == "foreign", -total[kind_of(s)], -frequency.get(s, 0), s))
         out.update((s, best) for s in c if s != best)
     return out
 
@@ -103,6 +116,7 @@ class Rewriter:
         self.automaton.make_automaton()
         self.words = regex.compile(rf"[\p{{L}}\p{{M}}{INVISIBLE}]+")
         self.mixed = regex.compile(rf"{FOREIGN}{BETWEEN}{LATIN}|{LATIN}{BETWEEN}{FOREIGN}")
+        self.cases = [("wide", re.compile(f"[{WIDE}]")), ("invisible", re.compile(f"[{INVISIBLE}]")), ("space", re.compile(f"[{SPACES}]"))]
         self.accent = regex.compile(rf"\p{{L}}[{INVISIBLE}]*[{ACCENTS}]")
         self.foreign = regex.compile(FOREIGN)
 
@@ -136,7 +150,9 @@ class Rewriter:
     def rewrite(self, text: str | None) -> tuple[str | None, list[str]]:
         if not text or text.isascii() or not SUSPECT.search(text):
             return text, []
-        kinds = {"accent"} if self.accent.search(text) else set()
+        kinds = {k for k, p in self.cases if p.search(text)}  # exact, whatever represents a class
+        if self.accent.search(text):
+            kinds.add("accent")
         for _ in range(8):  # each round shortens the text or replaces members by representatives
             new, more = self.once(text)
             kinds |= more

@@ -92,10 +92,19 @@ def nnls(columns: list[dict[int, int]], hist: np.ndarray, sweeps: int = 30) -> n
     return x
 
 
-def plan(hist: np.ndarray, capacity: int, window: int = 2) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length to multiplicity) and how often each is used; together they use every length exactly as often as `hist` says."""
+def plan(hist: np.ndarray, capacity: int, windows: tuple[int, ...] = (0, 2, 16)) -> list[tuple[dict[int, int], int]]:
+    """Patterns (length to multiplicity) and how often each is used; together they use every length exactly as often as `hist` says.
+
+    The best of the plans for each window; where few lengths combine well, taking nothing before the greedy part is one of them.
+    """
+    plans = [filled(hist, capacity, w) for w in windows] + [filled(hist, capacity, None)]
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def filled(hist: np.ndarray, capacity: int, window: int | None) -> list[tuple[dict[int, int], int]]:
+    """A plan whose combinations leave at most `window` units free, and the greedy rest; the greedy part alone without a window."""
     left, out = hist.astype(np.int64).copy(), []
-    columns = combinations(left, capacity, window)
+    columns = combinations(left, capacity, window) if window is not None else []
     x = nnls(columns, left)
     for i in np.argsort(-x, kind="stable").tolist():
         n = min(int(x[i] + 1e-6), *(int(left[k]) // m for k, m in columns[i].items()))
