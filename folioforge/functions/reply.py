@@ -97,3 +97,27 @@ def output_cap(base: Column, deepest: Column, most: Column) -> Column:
 def conversation_budget(window: Column, most: Column, share: Column) -> Column:
     """Tokens a conversation may take: a share of the window less the room for a reply, at least 8,000."""
     return F.greatest(F.floor(window * share).cast("int") - F.least(most, F.lit(64000)), F.lit(8000))
+
+
+def pruned(record: Column, keep: list[str]) -> Column:
+    """A map with only the keys to keep that it has."""
+    return F.map_filter(record, lambda k, _: k.isin(*keep))
+
+
+def idea(piece: Column, name: str = "ideas") -> Column:
+    """One object, as JSON text, of `{name: [x]}`, `{name: x}` or x itself; null for anything else."""
+    inner = F.coalesce(F.get_json_object(piece, f"$.{name}[0]"), F.get_json_object(piece, f"$.{name}"), piece)
+    return F.when(F.rlike(inner, F.lit(r"^\s*\{")), inner)
+
+
+def progress(line: Column) -> Column:
+    """The share done that a log line like `(3/18)` tells, at most 1; null without one or of nothing."""
+    done, all_ = (F.nullif(F.regexp_extract(line, r"\((\d+)/(\d+)\)", k), F.lit("")).try_cast("double") for k in (1, 2))
+    return F.when(all_ > 0, F.least(done / all_, F.lit(1.0)))
+
+
+def reordered(children: Column, order: list[str]) -> Column:
+    """An array of names in a fixed order, stable; names that aren't in the order come last."""
+    ranks = F.array(*map(F.lit, order))
+    rank = lambda x: F.coalesce(F.nullif(F.array_position(ranks, x), F.lit(0)), F.lit(len(order) + 1))
+    return F.transform(F.array_sort(F.transform(children, lambda x, i: F.struct(rank(x).alias("r"), i.alias("i"), x.alias("x")))), lambda s: s["x"])

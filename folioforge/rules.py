@@ -14,6 +14,27 @@ class RulePack:
     ranges: dict[str, tuple[int, int]] = field(
         default_factory=lambda: {"reading_a": (21, 23), "reading_b": (24, 27), "reading_c": (28, 31), "reading_d": (32, 35), "gap_filling": (36, 40), "cloze": (41, 55), "grammar": (56, 65)}
     )
+    # What opens a section, tried in the order of the sections.
+    openings: dict[str, str] = field(
+        default_factory=lambda: {
+            "reading_a": r"^\s*(?:阅读理解|第一节|阅读)\s*A\s*$|^\s*A\s*$",
+            "reading_b": r"^\s*B\s*$",
+            "reading_c": r"^\s*C\s*$",
+            "reading_d": r"^\s*D\s*$",
+            "gap_filling": r"七选五|选五|根据短文内容.*选项|选项中有两项(?:为)?多余选项",
+            "cloze": r"完形填空|完型填空|cloze",
+            "grammar": r"语法填空|短文填空|填入适当的单词|括号内单词的正确形式",
+            "practical_writing": r"应用文|书面表达|写一封|投稿|通知|邀请信|建议信",
+            "continuation_writing": r"读后续写|续写|Paragraph 1|Paragraph 2",
+        }
+    )
+    # Names a section is known by besides its own.
+    aliases: dict[str, str] = field(
+        default_factory=lambda: {
+            "阅读A": "reading_a", "阅读A篇": "reading_a", "A": "reading_a", "阅读B": "reading_b", "阅读B篇": "reading_b", "B": "reading_b", "阅读C": "reading_c", "阅读C篇": "reading_c", "C": "reading_c", "阅读D": "reading_d", "阅读D篇": "reading_d", "D": "reading_d",
+            "七选五": "gap_filling", "完形填空": "cloze", "完型填空": "cloze", "语法填空": "grammar", "应用文": "practical_writing", "读后续写": "continuation_writing", "作文续写": "continuation_writing",
+        }
+    )
     optional: tuple[str, ...] = ("gap_filling",)
     # Words that only answer keys and transcripts hold, that belong to the page, and that belong to model essays.
     leak_tokens: tuple[str, ...] = (

@@ -90,3 +90,61 @@ def append_usage(spark: SparkSession, rows: DataFrame, path: str) -> None:
     """Append ledger rows; a null cache_miss becomes what of the prompt wasn't cached."""
     miss = F.coalesce("cache_miss", F.greatest(F.coalesce("prompt_tokens", F.lit(0)) - F.coalesce("cache_hit", F.lit(0)), F.lit(0)))
     rows.withColumn("cache_miss", miss).write.mode("append").json(path)
+
+
+def write_json_by(df: DataFrame, path: str, key: str) -> None:
+    """JSON, one folder for each value of a key; a key's rows are brought together first, so that it has few files."""
+    df.repartition(F.col(key)).write.mode("overwrite").partitionBy(key).json(path)
+
+
+def docx_subset(content: bytes, keep: list[int]) -> bytes:
+    """The Word file with only the body children at these indices, and the page settings; everything else in the package stays, so styles and images still resolve."""
+    from xml.etree import ElementTree as ET
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    root = ET.fromstring(parts["word/document.xml"])
+    body = next(n for n in root.iter() if n.tag.rpartition("}")[2] == "body")
+    for i, child in enumerate(list(body)):
+        if i not in set(keep) and child.tag.rpartition("}")[2] != "sectPr":
+            body.remove(child)
+    parts["word/document.xml"] = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+    return _zipped(parts)
+
+
+def docx_merge(contents: list[bytes], page_break: bool = True) -> bytes:
+    """The bodies of Word files one after another in the package of the first. Of the others, what refers to their own package (images, links) is left out."""
+    from xml.etree import ElementTree as ET
+
+    with zipfile.ZipFile(io.BytesIO(contents[0])) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    root = ET.fromstring(parts["word/document.xml"])
+    body = next(n for n in root.iter() if n.tag.rpartition("}")[2] == "body")
+    last = next((c for c in body if c.tag.rpartition("}")[2] == "sectPr"), None)
+    if last is not None:
+        body.remove(last)
+    for content in contents[1:]:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            other = ET.fromstring(z.read("word/document.xml"))
+        if page_break:
+            body.append(ET.fromstring(f'<w:p xmlns:w="{_W}"><w:r><w:br w:type="page"/></w:r></w:p>'))
+        for child in next((n for n in other.iter() if n.tag.rpartition("}")[2] == "body"), ()):
+            if child.tag.rpartition("}")[2] == "sectPr":
+                continue
+            for parent in list(child.iter()):
+                for node in list(parent):
+                    if any("/relationships}" in a for n in node.iter() for a in n.attrib) and node.tag.rpartition("}")[2] in ("drawing", "pict", "hyperlink"):
+                        parent.remove(node)
+            body.append(child)
+    if last is not None:
+        body.append(last)
+    parts["word/document.xml"] = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+    return _zipped(parts)
+
+
+def _zipped(parts: dict[str, bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+    return out.getvalue()

@@ -72,3 +72,15 @@ def test_markdown_and_publish(spark, tmp_path):
         sinks.publish(df.where("false"), f"{tmp_path}/out/y", f"{tmp_path}/out")
     good, bad = sinks.quarantined(df, "body is not null")
     assert good.count() == 2 and bad.count() == 1
+
+
+def test_docx_subset_and_merge():
+    one, two = sinks.docx_bytes(["a", "b", [["c", "d"]]]), sinks.docx_bytes(["e"])
+    texts = lambda c: [b[2] for b in files.docx_blocks(c)]
+    assert texts(sinks.docx_subset(one, [0, 2])) == ["a", "c | d"]
+    assert texts(sinks.docx_merge([one, two])) == ["a", "b", "c | d", "e"]
+
+
+def test_json_by_key(spark, tmp_path):
+    sinks.write_json_by(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), str(tmp_path / "o"), "k")
+    assert sorted(p.name for p in (tmp_path / "o").iterdir() if p.is_dir()) == ["k=a", "k=b"]

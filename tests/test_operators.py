@@ -206,3 +206,23 @@ def test_text_functions(spark):
 def test_graded_empty(spark):
     df = spark.createDataFrame([], "source_doc string, section string, text string")
     assert summary.graded(df).count() == 0
+
+
+def test_segmenter(spark):
+    from folioforge.operators import segmenter
+
+    body = "head\nA\n" + "x" * 100 + "\nB\n" + "y" * 90 + "\nC\nshort\n完形填空\n" + "z" * 200 + "\n参考答案\n21-23 ABC 24-27 DDAA\n41-43 ABC"
+    df = docs(spark, body, None, "", "no section")
+    segs = segmenter.segments(df, "id", "text")
+    got = {r.section: (r.item_id, r.char_count, r.answer_count) for r in segmenter.with_answers(segs, df, "id", "text").collect()}
+    assert got == {"reading_a": ("0__reading_a__01", 102, 3), "reading_b": ("0__reading_b__01", 92, 4), "cloze": ("0__cloze__01", 240, 3)}
+    assert all(body[r.pos : r.slice_end].strip() == r.body for r in segs.collect())
+    names = spark.createDataFrame([("阅读A",), ("a",), ("CLOZE",), (None,)], "n string").select(segmenter.section_of(F.col("n")).alias("s"))
+    assert [r.s for r in names.collect()] == ["reading_a", "unknown", "cloze", "unknown"]
+
+
+def test_small_functions(spark):
+    one = lambda c, v: spark.createDataFrame([(v,)], "t string").select(c(F.col("t")).alias("x")).first().x
+    assert one(reply.idea, '{"ideas":[{"a":1}]}') == '{"a":1}' and one(reply.idea, "text") is None and one(reply.idea, None) is None
+    assert one(reply.progress, "score (3/18) x") == pytest.approx(1 / 6) and one(reply.progress, "(1/0)") is None
+    assert one(lambda c: reply.reordered(F.split(c, ","), ["a", "b"]), "z,b,a,y") == ["a", "b", "z", "y"]
