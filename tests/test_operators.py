@@ -215,7 +215,7 @@ def test_segmenter(spark):
     df = docs(spark, body, None, "", "no section")
     segs = segmenter.segments(df, "id", "text")
     got = {r.section: (r.item_id, r.char_count, r.answer_count) for r in segmenter.with_answers(segs, df, "id", "text").collect()}
-    assert got == {"reading_a": ("0__reading_a__01", 102, 3), "reading_b": ("0__reading_b__01", 92, 4), "cloze": ("0__cloze__01", 240, 3)}
+    assert got == {"reading_a": ("0__reading_a__01", 102, 3), "reading_b": ("0__reading_b__01", 92, 4), "cloze": ("0__cloze__01", 241, 3)}
     assert all(body[r.pos : r.slice_end].strip() == r.body for r in segs.collect())
     names = spark.createDataFrame([("阅读A",), ("a",), ("CLOZE",), (None,)], "n string").select(segmenter.section_of(F.col("n")).alias("s"))
     assert [r.s for r in names.collect()] == ["reading_a", "unknown", "cloze", "unknown"]
