@@ -121,3 +121,14 @@ def reordered(children: Column, order: list[str]) -> Column:
     ranks = F.array(*map(F.lit, order))
     rank = lambda x: F.coalesce(F.nullif(F.array_position(ranks, x), F.lit(0)), F.lit(len(order) + 1))
     return F.transform(F.array_sort(F.transform(children, lambda x, i: F.struct(rank(x).alias("r"), i.alias("i"), x.alias("x")))), lambda s: s["x"])
+
+
+def explanation_lines(questions: Column) -> Column:
+    """Text of ARRAY<STRUCT<number, answer, reason, notes ARRAY<STRING>>>: `21. B`, the reason, and a line for each note; empty parts are left out."""
+
+    def one(q: Column) -> Column:
+        head = F.concat_ws(". ", q["number"].cast("string"), F.when(q["answer"] != "", q["answer"]))
+        notes = F.when(F.size(q["notes"]) > 0, F.array_join(F.transform(q["notes"], lambda n: F.concat(F.lit("- "), n)), "\n"))
+        return F.concat_ws("\n", head, F.when(q["reason"] != "", q["reason"]), notes)
+
+    return F.array_join(F.transform(questions, one), "\n")

@@ -18,6 +18,11 @@ def fill_missing(left: DataFrame, cached: DataFrame, key: str, column: str) -> D
     return joined.withColumn("filled", F.col(column).isNull() & F.col("__cached").isNotNull()).withColumn(column, F.coalesce(column, "__cached")).drop("__cached")
 
 
+def redirected(rows: DataFrame, pairing: DataFrame, key: str, to: str) -> DataFrame:
+    """`rows` with `target`: what `pairing` (key, to) redirects the key to, or the key itself."""
+    return rows.join(pairing.groupBy(key).agg(F.min(to).alias("__to")), key, "left").withColumn("target", F.coalesce("__to", key)).drop("__to")
+
+
 def missing(needed: DataFrame, covered: DataFrame, key: str) -> DataFrame:
     """Rows of `needed` whose key isn't in `covered`. A null key is never covered."""
     return needed.join(covered.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
@@ -77,14 +82,18 @@ def similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def one_to_one(pairs: DataFrame, left: str, right: str, score: str, least: float = 0.55, rounds: int = 1000) -> DataFrame:
+def one_to_one(pairs: DataFrame, left: str, right: str, score: str, least: float = 0.55, rounds: int = 1000, lone: bool = False) -> DataFrame:
     """(left, right, score): the greedy matching - best pair first, ties by left and right, each side used once - of pairs that score at least `least`.
 
+    With `lone`, a single left side and a single right side match whatever they score.
+
     A pair that is the best of both its sides is what the greedy order would take; so each round takes all of these at once and drops the sides they
     use. The result is the sequential one, without putting all pairs in order in one task.
     """
     from folioforge.session import written
 
+    if lone and (only := pairs.select(left, right, score).dropna().limit(2).collect()) and len(only) == 1:
+        return pairs.select(left, right, score).dropna()
     rest = written(pairs.select(left, right, score).where(F.col(score) >= least).dropna().distinct(), "pairs")
     best = F.struct(-F.col(score), F.col(left), F.col(right))
     out = None

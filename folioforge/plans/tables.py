@@ -264,3 +264,35 @@ def running_page_offset(spark, d):
     before = F.coalesce(F.sum("c").over(Window.partitionBy("source_doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(Window.partitionBy("source_doc", "page").orderBy(F.when(F.col("byid"), 0).otherwise(F.col("block_order")), "block_id"))
     return b.join(pages.withColumn("before", before), ["source_doc", "page"]).select("block_id", (F.col("before") + place).alias("place"))
+
+
+@query("SELECT source_doc, coalesce((SELECT min(a.source_doc) FROM papers a WHERE a.kind = 'answers' AND a.source = p.source), source_doc) AS target FROM papers p WHERE kind = 'paper'")
+def redirected_papers(spark, d):
+    """Papers, each with the first answer document of its source, or itself."""
+    p = table(spark, d, "papers")
+    pairing = p.where("kind = 'answers'").groupBy("source").agg(F.min("source_doc").alias("answers"))
+    return relate.redirected(p.where("kind = 'paper'").select("source", "source_doc"), pairing, "source", "answers").select("source_doc", F.when(F.col("target") == F.col("source"), F.col("source_doc")).otherwise(F.col("target")).alias("target"))
+
+
+@query("SELECT l_orderkey, string_agg(l_linenumber || '. ' || l_returnflag || chr(10) || 'ships ' || strftime(l_shipdate, '%Y-%m-%d'), chr(10) ORDER BY l_linenumber, l_returnflag, l_shipdate) AS text FROM lineitem GROUP BY 1")
+def explanation_text(spark, d):
+    from folioforge.functions.reply import explanation_lines
+
+    note = F.array().cast("array<string>")
+    q = F.struct(F.col("l_linenumber").alias("number"), F.col("l_returnflag").alias("answer"), F.concat(F.lit("ships "), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("reason"), note.alias("notes"))
+    by = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(q)).alias("q"))
+    return by.select("l_orderkey", explanation_lines(F.col("q")).alias("text"))
+
+
+_word, _base, _derived = (_KEY.format(c) for c in ("word", "base", "derived"))
+
+
+@query(f"""SELECT 'reading' AS list, count(*) AS before, count(DISTINCT {_word}) AS after FROM reading WHERE {_word} <> '' UNION ALL SELECT 'forms', count(*), count(DISTINCT ({_base}, {_derived})) FROM forms WHERE {_base} <> '' AND {_derived} <> ''""")
+def merge_counts(spark, d):
+    """Rows of the word lists before and after merging by word."""
+    from folioforge.functions.text import strip
+
+    low = lambda c: F.lower(strip(F.coalesce(c, F.lit(""))))
+    one = table(spark, d, "reading").where(low("word") != "").agg(F.lit("reading").alias("list"), F.count(F.lit(1)).alias("before"), F.countDistinct(low("word")).alias("after"))
+    two = table(spark, d, "forms").where((low("base") != "") & (low("derived") != "")).agg(F.lit("forms").alias("list"), F.count(F.lit(1)).alias("before"), F.countDistinct(low("base"), low("derived")).alias("after"))
+    return one.unionByName(two)

@@ -226,3 +226,26 @@ def test_small_functions(spark):
     assert one(reply.idea, '{"ideas":[{"a":1}]}') == '{"a":1}' and one(reply.idea, "text") is None and one(reply.idea, None) is None
     assert one(reply.progress, "score (3/18) x") == pytest.approx(1 / 6) and one(reply.progress, "(1/0)") is None
     assert one(lambda c: reply.reordered(F.split(c, ","), ["a", "b"]), "z,b,a,y") == ["a", "b", "z", "y"]
+
+
+def test_pipeline(spark, tmp_path):
+    from folioforge.plans.pipeline import Pipeline
+
+    p = Pipeline(spark, str(tmp_path))
+    p.add("a", lambda: spark.range(3))
+    p.add("b", lambda a: a.selectExpr("id + 1 AS id"), "a")
+    p.add("c", lambda a, b: a.union(b), "a", "b")
+    assert p.order("c") == ["a", "b", "c"] and p.dependents("a") == {"b", "c"}
+    assert p.table("c", tag="t").count() == 6 and p.ran == ["a", "b", "c"]
+    p.table("c")
+    p.table("b", force=True)
+    assert p.ran == ["a", "b", "c", "b"] and not p.done("c")
+    with pytest.raises(ValueError):
+        p.add("d", lambda x: x, "none")
+
+
+def test_lone_pair_and_redirect(spark):
+    df = spark.createDataFrame([("a", "b", 0.1)], "a string, b string, s double")
+    assert relate.one_to_one(df, "a", "b", "s").count() == 0 and relate.one_to_one(df, "a", "b", "s", lone=True).count() == 1
+    rows_ = spark.createDataFrame([("p",), ("q",)], "k string")
+    assert rows(relate.redirected(rows_, spark.createDataFrame([("p", "x")], "k string, t string"), "k", "t")) == [("p", "x"), ("q", "q")]
