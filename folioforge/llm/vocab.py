@@ -6,11 +6,13 @@ The files are read on the driver from a path given as a parameter and sent to th
 from __future__ import annotations
 
 import base64
+import os
 from pathlib import Path
 
 import numpy as np
 
-TOKENIZERS = "/opt/tokenizers"
+#: Where the tokenizers' files are; every function that reads one takes its path.
+TOKENIZERS = os.environ.get("FOLIOFORGE_TOKENIZERS", "/opt/tokenizers")
 
 # How the byte-level BPE vocabularies split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
