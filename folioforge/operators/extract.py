@@ -97,7 +97,7 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
                     number.append(k)
                     start.append(pos)
                     end.append(pos + len(line))
-                    stripped.append(line.strip(" "))
+                    stripped.append(line.strip())
                     pos += len(line) + 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int32()) for c in (number, start, end)), pa.array(stripped, pa.string())], names=["key", "line", "start", "end", "stripped"])
 

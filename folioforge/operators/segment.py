@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from folioforge.functions.text import strip
 from folioforge.rules import DEFAULT, RulePack
 
 
@@ -66,7 +67,7 @@ def packed(text: Column, most: int) -> Column:
 
     A line longer than that is a chunk of its own. Null gives null, a blank text no chunk.
     """
-    kept = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
 
     def step(a: Column, x: Column) -> Column:

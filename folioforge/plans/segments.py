@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from folioforge.functions import reply
 from folioforge.operators import segmenter
 from folioforge.plans.catalogue import query, table
+from folioforge.plans.texts import _packed_sql, _strip
 from folioforge.rules import DEFAULT
 
-_case = "CASE " + " ".join(f"WHEN regexp_matches(trim(line), '(?i){DEFAULT.openings[s]}') THEN '{s}'" for s in DEFAULT.order) + " END"
+_case = "CASE " + " ".join(f"WHEN regexp_matches({_strip('line')}, '(?i){DEFAULT.openings[s]}') THEN '{s}'" for s in DEFAULT.order) + " END"
 _STARTS = f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
-starts AS (SELECT * FROM (SELECT doc_id, CAST(pos AS BIGINT) AS pos, {_case} AS section, trim(line) AS line FROM p) WHERE section IS NOT NULL)"""
+starts AS (SELECT * FROM (SELECT doc_id, CAST(pos AS BIGINT) AS pos, {_case} AS section, {_strip("line")} AS line FROM p) WHERE section IS NOT NULL)"""
 
 
 @query(f"WITH {_STARTS} SELECT * FROM starts")
@@ -61,7 +62,7 @@ def first_label(spark, d):
     return table(spark, d, "documents").select("doc_id", segmenter.first_text(F.col("section"), F.col("doc_kind"), F.col("lang")).alias("label"))
 
 
-@query(None)
+@query(_packed_sql(1500) + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk) AS INT) AS unit, body FROM packed WHERE length(body) >= 200")
 def rough_units(spark, d):
     return segmenter.rough_units(table(spark, d, "documents"), "doc_id", "text", 1500)
 

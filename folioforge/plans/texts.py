@@ -66,7 +66,7 @@ def section_alias(spark, d):
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
 o AS (SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l)
-SELECT doc_id, CAST(i AS INT) AS line, CAST(s AS INT) AS "start", CAST(s + length(line) AS INT) AS "end", trim(line) AS stripped FROM o""")
+SELECT doc_id, CAST(i AS INT) AS line, CAST(s AS INT) AS "start", CAST(s + length(line) AS INT) AS "end", """ + _strip("line") + """ AS stripped FROM o""")
 def line_offsets(spark, d):
     return extract.lines(table(spark, d, "documents"), "doc_id", "text")
 
@@ -199,7 +199,15 @@ def chunk_five(spark, d):
     return segment.groups_of(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber", 5)
 
 
-@query(None)
+def _packed_sql(most: int) -> str:
+    return f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, line, length(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS r FROM (SELECT doc_id, k, {_strip("line")} AS line FROM l) WHERE line <> ''),
+g AS (SELECT doc_id, r, line, n + 1 AS used, 0 AS chunk FROM t WHERE r = 1 UNION ALL
+SELECT t.doc_id, t.r, t.line, CASE WHEN g.used + t.n > {most} THEN t.n + 1 ELSE g.used + t.n + 1 END, CASE WHEN g.used + t.n > {most} THEN g.chunk + 1 ELSE g.chunk END FROM g JOIN t ON t.doc_id = g.doc_id AND t.r = g.r + 1),
+packed AS (SELECT doc_id, CAST(chunk AS INT) AS chunk, string_agg(line, chr(10) ORDER BY r) AS body FROM g GROUP BY 1, 2)"""
+
+
+@query(_packed_sql(900) + " SELECT * FROM packed")
 def pack_by_size(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(segment.packed(F.col("text"), 900)).alias("chunk", "body"))
 
