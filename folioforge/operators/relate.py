@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 
 def fill_missing(left: DataFrame, cached: DataFrame, key: str, column: str) -> DataFrame:
@@ -62,18 +61,14 @@ def overlapping(blocks: DataFrame, spans: DataFrame, key: str, index: str, start
 def as_of(rows: DataFrame, marks: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """`rows` with `value` of the key's latest mark at or before `at`, null if there is none. Marks: (key, at, value); of equal times the largest value counts.
 
-    One union and one window over key and time instead of a range join; marks sort before rows of the same time.
+    One union and one running fill over key and time instead of a range join; marks sort before rows of the same time.
     """
+    from folioforge.operators.scan import forward_fill
+
     both = rows.withColumn("__mark", F.lit(1)).withColumn("__value", F.lit(None).cast(marks.schema[value].dataType)).unionByName(
         marks.select(key, at, F.col(value).alias("__value"), F.lit(0).alias("__mark")), allowMissingColumns=True
     )
-    w = Window.partitionBy(key).orderBy(F.col(at), F.col("__mark"), F.col("__value")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__value", ignorenulls=True).over(w)).where("__mark = 1").drop("__mark", "__value")
-
-
-def similarity(a: str | None, b: str | None) -> float:
-    """Ratcliff-Obershelp ratio of two strings, 0 if either is empty or null."""
-    return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    return forward_fill(both, key, [at, "__mark", "__value"], "__value", value).where("__mark = 1").drop("__mark", "__value")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folioforge.functions.text import strip
+from folioforge.operators.scan import forward_fill
 from folioforge.rules import DEFAULT, RulePack
 
 
@@ -96,8 +97,8 @@ def owners(blocks: DataFrame, key: str, order: str, text: str, head: str, reset:
     stops = F.coalesce(F.rlike(text, F.lit(reset)) | ~F.rlike(text, F.lit("[一-鿿]")), F.lit(True))
     # one marker column: the number at a head, -1 where a stretch ends, null where it goes on
     mark = F.when(number.isNotNull(), number).when(stops, F.lit(-1))
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("owner", F.nullif(F.last(mark, ignorenulls=True).over(w), F.lit(-1)))
+    filled = forward_fill(blocks.withColumn("__mark", mark), key, [order], "__mark", "owner")
+    return filled.withColumn("owner", F.nullif("owner", F.lit(-1))).drop("__mark")
 
 
 def owned_spans(owned: DataFrame, key: str, index: str) -> DataFrame:

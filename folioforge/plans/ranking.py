@@ -15,11 +15,11 @@ WEIGHTS = {"reading_a": (3.0, 1.5, 1.0), "reading_b": (1.0, 3.0, 1.5), "cloze":
 
 def scored(spark, d):
     """One row an item with a score of its length and stems, weighted by section."""
-    items = table(spark, d, "items").select("item_id", "source_doc", "section", "text").distinct()
+    items = table(spark, d, "items")
     words, chars = wordish(F.col("text")) / 1000.0, F.coalesce(F.length("text"), F.lit(0)) / 10000.0
     stems = F.coalesce(F.regexp_count("text", F.lit(r"(?m)^\d{2}\.")), F.lit(0)) / 10.0
     by = lambda k: F.element_at(F.create_map(*(x for s, w in WEIGHTS.items() for x in (F.lit(s), F.lit(w[k])))), F.when(F.col("section").isin(*(s for s in WEIGHTS if s)), F.col("section")).otherwise(""))
-    return items.select("item_id", "source_doc", "section", F.round(by(0) * words + by(1) * chars + by(2) * stems, 9).alias("score"), F.length("text").alias("chars"))
+    return items.select("item_id", "source_doc", "section", F.round(by(0) * words + by(1) * chars + by(2) * stems, 9).alias("score"), F.length("text").alias("chars"), F.xxhash64("text").alias("same")).distinct().drop("same")  # repeated rows once, without shuffling texts
 
 
 _case = lambda k: "CASE section " + " ".join(f"WHEN '{s}' THEN {w[k]}" for s, w in WEIGHTS.items() if s) + f" ELSE {WEIGHTS[''][k]} END"

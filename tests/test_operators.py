@@ -249,3 +249,23 @@ def test_lone_pair_and_redirect(spark):
     assert relate.one_to_one(df, "a", "b", "s").count() == 0 and relate.one_to_one(df, "a", "b", "s", lone=True).count() == 1
     rows_ = spark.createDataFrame([("p",), ("q",)], "k string")
     assert rows(relate.redirected(rows_, spark.createDataFrame([("p", "x")], "k string, t string"), "k", "t")) == [("p", "x"), ("q", "q")]
+
+
+def test_forward_fill_spans_partitions(spark):
+    from folioforge.operators.scan import forward_fill
+
+    rng = random.Random(2)
+    data = [("hot", i, rng.choice([None, None, None, None, i])) for i in range(4000)] + [(f"k{i % 7}", i, None if i % 3 else i) for i in range(200)] + [(None, i, 5 if i == 3 else None) for i in range(6)] + [("bare", i, None) for i in range(900)]
+    want, last = {}, {}
+    for k, i, m in sorted(data, key=lambda r: (str(r[0]), r[1])):
+        last[k] = m if m is not None else last.get(k)
+        want[k, i] = last[k]
+    df = spark.createDataFrame(data, "k string, i int, m int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small data are one partition
+    try:
+        got = {(r.k, r.i): r.f for r in forward_fill(df, "k", ["i"], "m", "f").collect()}
+        ranged = df.repartitionByRange("k", "i").where("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert ranged > 1 and got == want
+    assert forward_fill(df.where("false"), "k", ["i"], "m", "f").count() == 0
