@@ -159,7 +159,18 @@ def dedupe_pairs(spark, d):
     return summary.first_of(table(spark, d, "forms").select("entry_id", "base", "derived", "note"), ["base", "derived"], "entry_id")
 
 
-@query(None)
+_bare = lambda c: _KEY.format(c)[6:-1]  # noqa: E731  the strip without lower()
+
+
+@query(f"""WITH b AS (SELECT entry_id AS o, {_bare("word")} AS word, lower({_bare("word")}) AS key, coalesce(pos, '') AS pos, coalesce(meaning, '') AS meaning FROM reading WHERE {_bare("word")} <> ''),
+w AS (SELECT key, arg_min(word, o) AS word, count(*) AS n FROM b GROUP BY 1),
+t AS (SELECT key, tag, min((o, i)) AS spot FROM (SELECT key, o, i, {_bare("raw")} AS tag FROM (SELECT key, o, unnest(regexp_split_to_array(pos, '[/、]|\s*&\s*')) AS raw, generate_subscripts(regexp_split_to_array(pos, '[/、]|\s*&\s*'), 1) AS i FROM b)) WHERE tag <> '' GROUP BY 1, 2),
+k AS (SELECT key, string_agg(tag, '/' ORDER BY spot) FILTER (WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.key = t.key AND x.tag <> t.tag AND (starts_with(x.tag, t.tag) OR ends_with(x.tag, t.tag)))) AS kept, string_agg(tag, '/' ORDER BY spot) AS all_tags FROM t GROUP BY 1),
+s AS (SELECT key, o, i, {_bare("raw")} AS sense FROM (SELECT key, o, unnest(regexp_extract_all(meaning, '(?:[（(][^）)]*[）)]?|[^；;，,、（(])+')) AS raw, generate_subscripts(regexp_extract_all(meaning, '(?:[（(][^）)]*[）)]?|[^；;，,、（(])+'), 1) AS i FROM b)),
+m AS (SELECT key, lower(regexp_replace(regexp_replace(sense, '[（(][^）)]*[）)]', '', 'g'), '[\s\x0b.,，、；;：:\-—“”"'']', '', 'g')) AS sk, o, i, sense FROM s WHERE sense <> ''),
+f AS (SELECT key, sk, min((o, i)) AS spot, arg_max(sense, (length(sense), -o, -i)) AS sense FROM m GROUP BY 1, 2),
+g AS (SELECT key, string_agg(sense, '；' ORDER BY spot) AS meaning FROM f GROUP BY 1)
+SELECT key, word, coalesce(kept, all_tags, '') AS pos, coalesce(meaning, '') AS meaning, n FROM w LEFT JOIN k USING (key) LEFT JOIN g USING (key)""")
 def merge_entries(spark, d):
     return summary.merged_entries(table(spark, d, "reading"), "word", "pos", "meaning", "entry_id")
 

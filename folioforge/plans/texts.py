@@ -236,12 +236,13 @@ def reply_parse(spark, d):
     return table(spark, d, "raw_entries").select("entry_id", reply.parsed_reply("payload").alias("p")).select("entry_id", "p.how", "p.truncated")
 
 
-@query(None)
+@query("SELECT entry_id, 'salvaged' AS how, true AS truncated, CASE WHEN entry_id % length(payload) = 0 THEN 2 ELSE 1 END AS objects FROM raw_entries WHERE json_valid(payload) AND starts_with(payload, '{')")
 def json_salvage(spark, d):
-    r = table(spark, d, "raw_entries")
+    """Two objects in an array, the text cut within the second one."""
+    r = table(spark, d, "raw_entries").where(F.startswith("payload", F.lit("{")))
     whole = F.concat(F.lit('{"segments":['), F.col("payload"), F.lit(","), F.col("payload"), F.lit("]}"))
     cut = F.substring(whole, F.lit(1), (F.length(whole) - 2 - F.col("entry_id") % F.length("payload")).cast("int"))
-    return r.select("entry_id", reply.parsed_reply(cut).alias("p")).select("entry_id", "p.json", "p.how", "p.truncated")
+    return r.select("entry_id", reply.parsed_reply(cut).alias("p")).select("entry_id", "p.how", "p.truncated", F.json_array_length(F.get_json_object("p.json", "$.segments")).alias("objects"))
 
 
 @query("SELECT seq, coalesce(prompt_tokens, 0) AS prompt, coalesce(cache_hit, 0) AS hit, greatest(coalesce(prompt_tokens, 0) - coalesce(cache_hit, 0), 0) AS miss, coalesce(completion_tokens, 0) AS output, coalesce(reasoning_tokens, 0) AS reasoning FROM usage_ledger")
