@@ -52,12 +52,12 @@ def encoded(entries: DataFrame) -> DataFrame:
     """(entry_id, list, tuple ARRAY<STRUCT<name, id>>), sorted; equal tuples of one list are copies.
 
     Null values and values with nothing but white space and punctuation don't appear in the tuple; a record without any other
-    has the empty tuple, and all of these are copies of each other. Of a field named twice in one record the smallest raw value counts. Rows
+    has the empty tuple, and all of these are copies of each other. Of a field named twice in one record the value with the smallest integer counts. Rows
     repeated exactly count once; records without entry_id are left out, having no identity.
     """
     entries = entries.where("entry_id is not null")
-    cells = entries.select("entry_id", "list", F.posexplode("fields").alias("pos", "f")).where("f.value is not null")
-    cells = cells.groupBy("entry_id", "list", F.col("f.name").alias("name")).agg(F.min(F.struct("f.value", "pos")).alias("c")).select("entry_id", "list", "name", F.col("c.value").alias("raw"), (F.col("entry_id") * MOST_FIELDS + F.col("c.pos")).alias("place"))
+    each = entries.select("entry_id", "list", F.posexplode("fields").alias("pos", "f")).where("f.value is not null")
+    cells = each.select("entry_id", "list", F.col("f.name").alias("name"), F.col("f.value").alias("raw"), (F.col("entry_id") * MOST_FIELDS + F.col("pos")).alias("place"))
     cells = written(cells, "cells")
     total = cells.count()
     raws = cells.groupBy("raw").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")).withColumn("canon", canonical(F.col("raw")))
@@ -66,7 +66,9 @@ def encoded(entries: DataFrame) -> DataFrame:
     ids = raws.groupBy("canon").agg(F.count(F.lit(1)).alias("forms"), F.min("place").alias("id"))
     dictionary = heavy_lookup(raws.select("raw", "n", "canon"), ids, ["canon"], "forms", size).select("raw", "n", "id")
     coded = heavy_lookup(cells, dictionary, ["raw"], "n", total).select("entry_id", "list", F.struct("name", "id").alias("c"))
-    tuples = coded.groupBy("entry_id", "list").agg(F.sort_array(F.collect_set("c")).alias("tuple"))
+    tuples = coded.groupBy("entry_id", "list").agg(F.sort_array(F.collect_set("c")).alias("t"))
+    once = F.filter("t", lambda x, i: (i == 0) | (F.get("t", i - 1)["name"] != x["name"]))
+    tuples = tuples.select("entry_id", "list", once.alias("tuple"))
     none = F.array().cast("array<struct<name:string,id:bigint>>")
     return entries.select("entry_id", "list").distinct().join(tuples, ["entry_id", "list"], "left").withColumn("tuple", F.coalesce("tuple", none))
 
