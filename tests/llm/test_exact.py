@@ -171,7 +171,7 @@ def test_p3_fields(spark):
     reading = spark.createDataFrame([(1, "Take  off", "V.", "起飞；"), (2, "take\xa0off!", "v", "起 飞"), (5, None, " ", "…"), (6, "", None, None), (8, "x", "n.", None), (8, "x", "n.", None)], "entry_id long, word string, pos string, meaning string")
     forms = spark.createDataFrame([(3, "take off", "v", "起飞")], "entry_id long, base string, base_pos string, note string").withColumnRenamed("note", "name")
     raw = spark.createDataFrame(
-        [(4, "reading", '{"MEANING":"起飞","Word":"TAKE-OFF","pos":"v"}'), (7, "reading", None), (9, "reading", "no json"), (10, "Reading ", '{"word":"takeoff","meaning":"起飞"}'), (11, None, '{"word":"x"}'), (None, "reading", "{}")],
+        [(4, "reading", '{"MEANING":"起飞","Word":"TAKE-OFF","pos":"v"}'), (7, "reading", None), (9, "reading", "no json"), (10, "Reading ", '{"word":"takeoff","meaning":"起飞"}'), (11, None, '{"word":"x"}'), (None, "reading", "{}"), (12, "reading", '{"word":"q","Word":"z","word":"y"}'), (13, "reading", "[1]")],
         "entry_id long, list_name string, payload string",
     )
     entries = p3.typed_entries(reading, "reading", p3.FIELDS["reading"]).unionByName(p3.typed_entries(forms, "forms", p3.FIELDS["forms"])).unionByName(p3.raw_entries(raw))
