@@ -162,7 +162,7 @@ def dedupe_pairs(spark, d):
 _bare = lambda c: _KEY.format(c)[6:-1]  # noqa: E731  the strip without lower()
 
 
-@query(f"""WITH b AS (SELECT entry_id AS o, {_bare("word")} AS word, lower({_bare("word")}) AS key, coalesce(pos, '') AS pos, coalesce(meaning, '') AS meaning FROM reading WHERE {_bare("word")} <> ''),
+@query(rf"""WITH b AS (SELECT entry_id AS o, {_bare("word")} AS word, lower({_bare("word")}) AS key, coalesce(pos, '') AS pos, coalesce(meaning, '') AS meaning FROM reading WHERE {_bare("word")} <> ''),
 w AS (SELECT key, arg_min(word, o) AS word, count(*) AS n FROM b GROUP BY 1),
 t AS (SELECT key, tag, min((o, i)) AS spot FROM (SELECT key, o, i, {_bare("raw")} AS tag FROM (SELECT key, o, unnest(regexp_split_to_array(pos, '[/、]|\s*&\s*')) AS raw, generate_subscripts(regexp_split_to_array(pos, '[/、]|\s*&\s*'), 1) AS i FROM b)) WHERE tag <> '' GROUP BY 1, 2),
 k AS (SELECT key, string_agg(tag, '/' ORDER BY spot) FILTER (WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.key = t.key AND x.tag <> t.tag AND (starts_with(x.tag, t.tag) OR ends_with(x.tag, t.tag)))) AS kept, string_agg(tag, '/' ORDER BY spot) AS all_tags FROM t GROUP BY 1),
