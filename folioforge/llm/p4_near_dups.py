@@ -271,3 +271,13 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
 def p4_groups(spark, sf_dir: str) -> DataFrame:
     """The group of each item."""
     return near_groups(spark.read.parquet(f"{sf_dir}/items.parquet"))
+
+
+SQL = {
+    "p4_found": """
+WITH w AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[a-z0-9]+|[\\x{4e00}-\\x{9fff}]') AS w FROM items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS s FROM w WHERE len(w) >= 3),
+n AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS both FROM s a JOIN s b USING (s) WHERE a.item_id < b.item_id GROUP BY 1, 2)
+SELECT a AS item_a, b AS item_b FROM c JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE c.both >= 0.5 * (x.n + y.n - c.both)""",
+}

@@ -229,3 +229,14 @@ def p6_found(spark, sf_dir: str) -> DataFrame:
 def p6_text(spark, sf_dir: str) -> DataFrame:
     """Every record's text in one form."""
     return normalised(records(spark, sf_dir), ["rec_table", "rec_key"]).select("rec_table", "rec_key", "text")
+
+
+_points = lambda s: "".join(f"\\x{{{ord(c):x}}}" for c in s)
+_ranges = "\\x{300}-\\x{36f}\\x{1ab0}-\\x{1aff}\\x{1dc0}-\\x{1dff}\\x{20d0}-\\x{20ff}\\x{fe20}-\\x{fe2f}"
+_case = f"[\\x{{ff10}}-\\x{{ff19}}\\x{{ff21}}-\\x{{ff3a}}\\x{{ff41}}-\\x{{ff5a}}{_points(INVISIBLE)}{_points(SPACES)}]|\\p{{L}}[{_ranges}]"
+_next = f"[\\p{{Greek}}\\p{{Cyrillic}}][{_ranges}]*[\\p{{Latin}}]|[\\p{{Latin}}][{_ranges}]*[\\p{{Greek}}\\p{{Cyrillic}}]"
+
+SQL = {
+    "p6_found": f"""SELECT DISTINCT rec_table, rec_key FROM (SELECT 'items' AS rec_table, item_id AS rec_key, text FROM items UNION ALL SELECT 'blocks', source_doc || '#' || ord, text FROM blocks)
+WHERE regexp_matches(text, '{_case}|{_next}')""",
+}

@@ -28,6 +28,17 @@ def test_query(spark, data, name):
         assert len(set(map(tuple, rows))) == len(rows)
 
 
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_twin(spark, data, duck, name):
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).parents[1]))
+    from same import same
+
+    same(llm.queries()[name](spark, data), duck, llm.oracle_sql()[name])
+
+
 def test_query_names():
     assert {q.split("_")[0] for q in llm.queries()} == {f"p{n}" for n in range(1, 10)}
     assert set(llm.oracle_sql()) <= set(llm.queries())

@@ -179,16 +179,6 @@ def test_p3_fields(spark):
     assert p3.pairs_found(entries.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("q", ["p3_found", "p3_entries"])
-def test_p3_sql(spark, data, duck, q):
-    import sys
-
-    sys.path.insert(0, str(__import__("pathlib").Path(__file__).parents[1]))
-    from same import same
-
-    same(getattr(p3, q)(spark, data), duck, p3.SQL[q])
-
-
 # ---- 6
 
 
