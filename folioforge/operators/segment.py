@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folioforge.functions.text import strip
-from folioforge.operators.scan import forward_fill
+from folioforge.operators.scan import forward_fill, row_numbers
 from folioforge.rules import DEFAULT, RulePack
+from folioforge.session import written
 
 
 def earliest(text: Column, markers: list[tuple[str, float]]) -> Column:
@@ -34,31 +35,40 @@ def tail_split(text: Column, at: Column, most: int = 30000) -> Column:
 
 def slices(starts: DataFrame, key: str, pos: str, end: str) -> DataFrame:
     """`starts` with slice_end: the next start of the same key, or the column `end` for the last. Equal positions end at each other's start."""
-    return starts.withColumn("slice_end", F.coalesce(F.lead(pos).over(Window.partitionBy(key).orderBy(pos)), F.col(end)))
+    back = starts.withColumn("__back", -F.col(pos))
+    following = forward_fill(back, key, ["__back"], pos, "__following", before=True)
+    return following.withColumn("slice_end", F.coalesce("__following", end)).drop("__back", "__following")
 
 
 def in_order(starts: DataFrame, key: str, pos: str, section: str, rules: RulePack = DEFAULT) -> DataFrame:
     """(key, pos, section) of the longest run of starts whose sections rise strictly in the pack's order along pos; of equally long ones that which ends earliest.
 
-    A key's starts are pre-reduced to the first position of each section and direction needed: only the starts of one key's sections meet in
-    a task, folded by a higher-order function over their sorted array.
+    Starts with the same position count in the pack's order. One round for each section, in order: for each length of run so far its earliest end is kept, and the section's earliest
+    start after that end makes a run one longer. A round is an aggregation of minima by key, so a key with very many starts is never gathered.
     """
     ranks = F.create_map(*(x for s in rules.order for x in (F.lit(s), F.lit(rules.rank(s)))))
-    known = starts.select(key, pos, section, F.element_at(ranks, F.col(section)).alias("r")).where("r is not null")
-    # best[r] = (length, path) of the best run that ends in rank r; a start extends the best run of a lower rank
-    kinds = "array<struct<n:int,path:array<struct<pos:bigint,r:int>>>>"
-    empty = F.expr(f"cast(transform(sequence(0, {len(rules.order) - 1}), x -> struct(0 as n, array() as path)) as {kinds})")
-
-    def step(best: Column, s: Column) -> Column:
-        lower = F.filter(best, lambda b, i: i < s["r"])
-        top = F.aggregate(lower, F.expr("cast(struct(0 as n, array() as path) as struct<n:int,path:array<struct<pos:bigint,r:int>>>)"), lambda a, b: F.when(b["n"] > a["n"], b).otherwise(a))
-        new = F.struct((top["n"] + 1).alias("n"), F.concat(top["path"], F.array(F.struct(s["pos"].cast("long").alias("pos"), s["r"].cast("int").alias("r")))).alias("path"))
-        return F.transform(best, lambda b, i: F.when((i == s["r"]) & (new["n"] > b["n"]), new).otherwise(b))
-
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col("r"))))
-    folded = known.groupBy(key).agg(ordered.alias("s")).select(key, F.aggregate("s", empty, step).alias("best"))
-    longest = F.aggregate("best", F.expr("cast(struct(0 as n, array() as path) as struct<n:int,path:array<struct<pos:bigint,r:int>>>)"), lambda a, b: F.when((b["n"] > a["n"]) | ((b["n"] == a["n"]) & (b["n"] > 0) & (F.element_at(b["path"], -1)["pos"] < F.element_at(a["path"], -1)["pos"])), b).otherwise(a))
-    each = folded.select(key, F.explode(longest["path"]).alias("p"))
+    known = written(starts.select(key, F.col(pos).cast("long").alias("pos"), F.element_at(ranks, F.col(section)).alias("r")).where("r is not null"), "starts")
+    n = len(rules.order)
+    run = "struct<pos:bigint,path:array<struct<pos:bigint,r:int>>>"
+    tails = [F.expr(f"cast(struct({-(1 << 62)}L as pos, array() as path) as {run})"), *(F.expr(f"cast(null as {run})") for _ in range(n))]
+    state = known.select(key).distinct().select(key, *(t.alias(f"t{k}") for k, t in enumerate(tails)))
+    for r in range(n):
+        own = known.where(F.col("r") == r).join(state.select(key, *(F.col(f"t{k}.pos").alias(f"p{k}") for k in range(r + 1))), key)
+        least = own.groupBy(key).agg(*(F.min(F.when(F.col("pos") > F.col(f"p{k}"), F.col("pos"))).alias(f"m{k}") for k in range(r + 1)))
+        joined = state.join(least, key, "left")
+        new = [F.col("t0")]
+        for k in range(1, n + 1):
+            if k > r + 1:
+                new.append(F.col(f"t{k}"))
+                continue
+            m, old = F.col(f"m{k - 1}"), F.col(f"t{k}")
+            longer = F.struct(m.alias("pos"), F.concat(F.col(f"t{k - 1}.path"), F.array(F.struct(m.alias("pos"), F.lit(r).alias("r")))).alias("path")).cast(run)
+            new.append(F.when(m.isNotNull() & (old.isNull() | (m < old["pos"])), longer).otherwise(old))
+        state = joined.select(key, *(c.alias(f"t{k}") for k, c in enumerate(new)))
+        if r % 3 == 2:
+            state = written(state, "runs")
+    longest = F.coalesce(*(F.col(f"t{k}.path") for k in range(n, 0, -1)))
+    each = state.select(key, F.explode(longest).alias("p"))
     names = F.array(*(F.lit(s) for s in rules.order))
     return each.select(key, F.col("p.pos").alias(pos), F.element_at(names, F.col("p.r") + 1).alias(section))
 
@@ -84,8 +94,8 @@ def packed(text: Column, most: int) -> Column:
 
 def groups_of(df: DataFrame, key: str, order: str, size: int) -> DataFrame:
     """`df` with `chunk`: consecutive rows of a key, `size` to a chunk, from 0."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("chunk", F.floor((rank - 1) / size).cast("int"))
+    ranked = row_numbers(df, key, [order], "__rank")
+    return ranked.withColumn("chunk", F.floor((F.col("__rank") - 1) / size).cast("int")).drop("__rank")
 
 
 def owners(blocks: DataFrame, key: str, order: str, text: str, head: str, reset: str) -> DataFrame:

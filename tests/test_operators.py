@@ -86,6 +86,21 @@ def test_longest_order(spark):
     df = spark.createDataFrame([("d", i, x) for i, x in enumerate(s)], "doc string, pos int, section string")
     assert [r[2] for r in sorted(segment.in_order(df, "doc", "pos", "section").collect(), key=lambda r: r[1])] == ["reading_a", "reading_b", "reading_c", "grammar"]
     assert segment.in_order(df.where("false"), "doc", "pos", "section").count() == 0
+    from itertools import combinations
+
+    from folioforge.rules import DEFAULT
+
+    rng = random.Random(9)
+    data = [(f"d{d}", p, rng.choice(DEFAULT.order)) for d in range(15) for p in range(rng.randint(1, 9))]
+    got = {}
+    for r in segment.in_order(spark.createDataFrame(data, "doc string, pos int, section string"), "doc", "pos", "section").collect():
+        got.setdefault(r.doc, []).append((r.pos, r.section))
+    for d in {x[0] for x in data}:
+        own = [x[1:] for x in data if x[0] == d]
+        rising = [c for k in range(1, len(own) + 1) for c in combinations(own, k) if all(DEFAULT.rank(a[1]) < DEFAULT.rank(b[1]) for a, b in zip(c, c[1:]))]
+        best = max(map(len, rising))
+        mine = tuple(sorted(got[d]))
+        assert mine in rising and len(mine) == best and mine[-1][0] == min(c[-1][0] for c in rising if len(c) == best)
 
 
 def test_owned_spans_void(spark):
@@ -269,3 +284,18 @@ def test_forward_fill_spans_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert ranged > 1 and got == want
     assert forward_fill(df.where("false"), "k", ["i"], "m", "f").count() == 0
+
+
+def test_row_numbers_and_slices_span_partitions(spark):
+    from folioforge.operators.scan import row_numbers
+
+    data = [("hot", i * 3, 99999) for i in range(3000)] + [("b", 5, 7), (None, 1, 2), (None, 4, 9)]
+    df = spark.createDataFrame(data, "k string, pos int, e int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.k, r.pos): r.n for r in row_numbers(df, "k", ["pos"], "n").collect()}
+        ends = {(r.k, r.pos): r.slice_end for r in segment.slices(df, "k", "pos", "e").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == {("hot", i * 3): i + 1 for i in range(3000)} | {("b", 5): 1, (None, 1): 1, (None, 4): 2}
+    assert ends == {("hot", i * 3): (i * 3 + 3 if i < 2999 else 99999) for i in range(3000)} | {("b", 5): 7, (None, 1): 4, (None, 4): 9}
