@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 #: White space, Unicode's included, so that Java, Python and RE2 agree.
 WS = r"[\s\x0b\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+# The patterns that words, letters' outer lines, names, titles and senses are told by.
+WORDISH = "[A-Za-z]+(?:[-'][A-Za-z]+)?"
+BODY_WORD = "[A-Za-z][A-Za-z'’-]*"
+OUTER_LINE = r"(?i)^\s*(Dear\b|To whom)|^\s*(Yours|Sincerely|Best wishes|Best regards|Regards|Faithfully)\b[,.\s]*$"
+NAME_SIGNS = r"[^0-9A-Za-z_\-一-鿿]+"
+TITLE_NOISE = r"[（）()【】\[\]{}_\-—–\s·、,，。.]+"
+TITLE_ENDS = "试题卷?|试卷"
+CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+BRACKETED = "[（(][^）)]*[）)]"
+SENSE_SIGNS = "[\\s.,，、；;：:\\-—“”\"']"
+TAG_SPLIT = r"[/、]|\s*&\s*"
+
 
 def strip(c: Column) -> Column:
     """Without white space, of any kind, at both ends."""
@@ -18,20 +30,19 @@ def inline(c: Column) -> Column:
     """Common HTML entities resolved, no-break spaces plain, runs of blanks one, at most one empty line, stripped."""
     for entity, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(to))
-    c = F.regexp_replace(F.replace(c, F.lit(" "), F.lit(" ")), r"[ \t]+", " ")
+    c = F.regexp_replace(F.replace(c, F.lit("\u00a0"), F.lit(" ")), r"[ \t]+", " ")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
 def wordish(c: Column) -> Column:
     """Number of Latin words; hyphens and apostrophes join."""
-    return F.coalesce(F.regexp_count(c, F.lit("[A-Za-z]+(?:[-'][A-Za-z]+)?")), F.lit(0))
+    return F.coalesce(F.regexp_count(c, F.lit(WORDISH)), F.lit(0))
 
 
 def essay_words(c: Column) -> Column:
     """Words of a letter's body: lines of greeting and sign-off don't count."""
-    outer = r"(?i)^\s*(Dear\b|To whom)|^\s*(Yours|Sincerely|Best wishes|Best regards|Regards|Faithfully)\b[,.\s]*$"
-    body = F.filter(F.split(c, "\n"), lambda x: ~F.rlike(x, F.lit(outer)))
-    return F.coalesce(F.regexp_count(F.array_join(body, "\n"), F.lit("[A-Za-z][A-Za-z'’-]*")), F.lit(0))
+    body = F.filter(F.split(c, "\n"), lambda x: ~F.rlike(x, F.lit(OUTER_LINE)))
+    return F.coalesce(F.regexp_count(F.array_join(body, "\n"), F.lit(BODY_WORD)), F.lit(0))
 
 
 def token_estimate(c: Column) -> Column:
@@ -43,12 +54,12 @@ def token_estimate(c: Column) -> Column:
 def safe_stem(c: Column, most: int = 80) -> Column:
     """A file name's stem as an identifier: extension off, white space to _, other signs out, cut; 'doc' if nothing is left."""
     stem = F.regexp_replace(F.regexp_replace(c, r"(?<=.)\.[^.]*$", ""), f"{WS}+", "_")
-    return F.coalesce(F.nullif(F.substring(F.regexp_replace(stem, r"[^0-9A-Za-z_\-一-鿿]+", ""), 1, most), F.lit("")), F.lit("doc"))
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(stem, NAME_SIGNS, ""), 1, most), F.lit("")), F.lit("doc"))
 
 
 def safe_name(c: Column, most: int = 120) -> Column:
     """Like safe_stem without an extension; _ at the ends is taken off; 'item' if nothing is left."""
-    s = F.substring(F.regexp_replace(F.regexp_replace(c, f"{WS}+", "_"), r"[^0-9A-Za-z_\-一-鿿]+", ""), 1, most)
+    s = F.substring(F.regexp_replace(F.regexp_replace(c, f"{WS}+", "_"), NAME_SIGNS, ""), 1, most)
     return F.coalesce(F.nullif(F.regexp_replace(s, "^_+|_+$", ""), F.lit("")), F.lit("item"))
 
 
@@ -60,7 +71,7 @@ def preview(c: Column, most: int) -> Column:
 
 def sanitize(c: Column) -> Column:
     """Without control characters that XML forbids, ** and backticks, and # before headings."""
-    c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    c = F.regexp_replace(c, CONTROLS, "")
     return F.regexp_replace(F.regexp_replace(c, r"\*\*|`", ""), r"(?md)^#{1,6}[ \t]+", "")
 
 
@@ -72,8 +83,8 @@ def heading(c: Column) -> Column:
 def title_key(c: Column, answer_words: str) -> Column:
     """What of a file name names the paper: without extension, words for answers, punctuation and words like 'paper' at the end."""
     stem = F.regexp_replace(F.regexp_replace(c, r"(?i)\.(docx|pdf)$", ""), answer_words, "")
-    stem = F.regexp_replace(stem, r"[（）()【】\[\]{}_\-—–\s·、,，。.]+", "")
-    return F.regexp_replace(stem, rf"(试题卷?|试卷|{answer_words}|版)+$", "")
+    stem = F.regexp_replace(stem, TITLE_NOISE, "")
+    return F.regexp_replace(stem, f"({TITLE_ENDS}|{answer_words}|版)+$", "")
 
 
 def number_or_zero(c: Column) -> Column:
@@ -109,12 +120,12 @@ def senses(c: Column) -> Column:
 
 def sense_key(c: Column) -> Column:
     """What makes two senses the same: no bracketed notes, no white space or punctuation, lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(c, "[（(][^）)]*[）)]", ""), "[\\s.,，、；;：:\\-—“”\"']", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(c, BRACKETED, ""), SENSE_SIGNS, ""))
 
 
 def merged_pos(values: Column) -> Column:
     """One tag list of an array of them: tags split at / 、 &, in order of first appearance, without those that begin or end another one."""
-    tags = F.array_distinct(F.filter(F.transform(F.flatten(F.transform(values, lambda v: F.split(v, r"[/、]|\s*&\s*"))), strip), lambda x: x != ""))
+    tags = F.array_distinct(F.filter(F.transform(F.flatten(F.transform(values, lambda v: F.split(v, TAG_SPLIT))), strip), lambda x: x != ""))
     keep = F.filter(tags, lambda t: ~F.exists(tags, lambda o: (o != t) & (F.startswith(o, t) | F.endswith(o, t))))
     return F.array_join(F.when(F.size(keep) > 0, keep).otherwise(tags), "/")
 

@@ -9,9 +9,11 @@ from pyspark.sql.window import Window
 
 from folioforge.rules import DEFAULT, RulePack
 
+# How answer keys write ranges, single answers, words and runs of answers.
 _RANGES = [r"(\d+)\s*[-—]\s*(\d+)\s*[.．]?\s*([A-G]+)", r"(\d+)\s*~\s*(\d+)\s*[.．]?\s*([A-G]+)", r"(\d+)\s*--\s*(\d+)\s*[.．]?\s*([A-G]+)"]
 _SINGLE = r"(?U)(?<!\d)(\d+)\s*[.．]\s*([A-G])\b(?!\s*[.．])"
 _WORDS = r"(?m)(5[6-9]|6[0-5])\s*[.．]\s*(.+?)(?=\s*(?:5[6-9]|6[0-5])\s*[.．]|$)"
+_GLUED = r"(?<!\d)(5[6-9]|6[0-5])\s*\."
 _RUN = r"(?m)^\s*(\d{1,2})\s*[-—~－–]+\s*(\d{1,2})\s*[.．、:：]?\s*([A-G]{2,})(?:$|[^0-9A-Za-z_一-鿿])"
 
 
@@ -45,7 +47,7 @@ def answer_letters(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def answer_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, number, answer): words for the numbers 56 to 65, also where they are glued to the next number; the first of a number counts."""
-    spaced = F.regexp_replace(docs[text], r"(?<!\d)(5[6-9]|6[0-5])\s*\.", " $1. ")
+    spaced = F.regexp_replace(docs[text], _GLUED, " $1. ")
     found = docs.select(docs[key].alias(key), F.posexplode(_groups(spaced, _WORDS, 2)).alias("pos", "m"))
     word = F.regexp_replace(F.trim(F.col("m._2")), r"[\s,，;；.。]+$", "")
     return found.select(key, "pos", F.col("m._1").cast("int").alias("number"), word.alias("answer")).where("answer <> ''").groupBy(key, "number").agg(F.min_by("answer", "pos").alias("answer"))
