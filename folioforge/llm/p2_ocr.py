@@ -10,7 +10,7 @@ Method. Three classifiers and a retrieval, each over the whole collection:
   second line-pair classifier, fitted to line pairs within blocks and between paragraphs, tells whether a page's last paragraph goes on
   in the first of the next page;
 - misread words: candidates come from an inverted join on the character q-grams of the words' skeletons (look-alikes
-  folded) between all words and the common ones; gradient-boosted ranking, fitted to common words with characters misread on
+  folded) between all words and those that stand more than five times as often; gradient-boosted ranking, fitted to common words with characters misread on
   purpose, chooses the replacement or none.
 
 Papers of any size are handled by page: nothing is gathered by paper. Counts are shares of the whole, so the same rules hold at every size.
@@ -33,7 +33,8 @@ from folioforge.operators.skew import heavy_lookup
 from folioforge.session import written
 
 SAMPLE = 20_000  # lines, words or pairs that a classifier is fitted on
-COMMON = 2e-5  # share of all words from which on a word counts as common; at most 1 / COMMON words do
+COMMON = 2e-5  # share of all words from which on a word is common enough to fit on; any word may be what a rarer one should be
+TIMES = 5  # how many times as often as a misread form its true word stands, at the least
 CUT = "p >= 0.15"  # the chances of the labels are far above this for furniture and far below for anything else
 FURNITURE = ("header", "footer", "page_number")
 MARKS = "-‐¬\xad‑"
@@ -475,7 +476,10 @@ def rank_features(read: str, true: str, read_share: float, true_share: float) ->
 
 
 def replacements(words: DataFrame) -> DataFrame:
-    """(word, meant): words that are misread, with what they should be. words: (word, n)."""
+    """(word, meant): words that are misread, with what they should be. words: (word, n).
+
+    Any word of letters may be meant that stands more than TIMES as often as the form read, however rare both are in the whole.
+    """
     spark = words.sparkSession
     total = words.agg(F.sum("n")).first()[0] or 1
     least = max(3, COMMON * total)
@@ -488,9 +492,9 @@ def replacements(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["word", "n", "g", "m"])
 
     index = words.where("length(word) <= 40").mapInArrow(run, "word string, n long, g string, m int")
-    true = index.where((F.col("n") >= least) & F.col("word").rlike("^[a-z]+$")).select("g", F.col("word").alias("meant"), F.col("n").alias("tn"), F.col("m").alias("tm"))
+    true = index.where((F.col("n") > TIMES) & F.col("word").rlike("^[a-z]+$")).select("g", F.col("word").alias("meant"), F.col("n").alias("tn"), F.col("m").alias("tm"))
     # a form of letters only that is not so rare beside the common word is a word of its own
-    near = index.join(true, "g").where("word <> meant and tn > 5 * n and (tn > 25 * (n - 2) or word rlike '[^a-z]') and abs(m - tm) <= 4 + m / 2").groupBy("word", "meant").agg(F.count(F.lit(1)).alias("hit"), F.first("n").alias("n"), F.first("tn").alias("tn"), F.first("m").alias("m"), F.first("tm").alias("tm"))
+    near = index.join(true, "g").where(f"word <> meant and tn > {TIMES} * n and (tn > 25 * (n - 2) or word rlike '[^a-z]') and abs(m - tm) <= 4 + m / 2").groupBy("word", "meant").agg(F.count(F.lit(1)).alias("hit"), F.first("n").alias("n"), F.first("tn").alias("tn"), F.first("m").alias("m"), F.first("tm").alias("tm"))
     near = near.where("hit >= 0.25 * least(m, tm)")
     sample = words.where(F.col("n") >= least).where("word rlike '^[a-z]+$'").orderBy(F.xxhash64("word")).limit(SAMPLE // 10).collect()  # at most SAMPLE / 10 rows
     known = {r.word: r.n / total for r in sample}
@@ -500,7 +504,7 @@ def replacements(words: DataFrame) -> DataFrame:
         for g in grams(w):
             by.setdefault(g, []).append(w)
     for w, share in known.items():
-        rare = share * 10 ** -rng.uniform(1, 3.5)
+        rare = share * 10 ** -rng.uniform(np.log10(TIMES), 3.5)
         others = [v for g in grams(w) for v in by[g][:40] if v != w]
         rules = [(t, r) for t, r in MISREAD[:20] if t in w]
         for t, r in rules:
@@ -534,7 +538,12 @@ def replacements(words: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(p).filter(keep)], names=["word", "meant", "p"])
 
     best = near.select("word", "meant", "n", "tn").mapInArrow(score, "word string, meant string, p double")
-    return best.groupBy("word").agg(F.max_by("meant", F.struct("p", "meant")).alias("meant"))
+    best = written(best.groupBy("word").agg(F.max_by("meant", F.struct("p", "meant")).alias("meant")), "best")
+    while True:  # what is meant may be a commoner misreading itself; each step is to a commoner word, so chains are short and end
+        further = best.select(F.col("word").alias("meant"), F.col("meant").alias("end"))
+        if not best.join(further, "meant").head(1):
+            return best
+        best = written(best.join(further, "meant", "left").select("word", F.coalesce("end", "meant").alias("meant")), "best")
 
 
 # ---------------------------------------------------------------- the whole
