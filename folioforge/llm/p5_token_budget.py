@@ -3,8 +3,8 @@
 Method. A double-array trie over the vocabulary and a count-only Viterbi for each distinct segment (a run of white space
 and what follows it: no token spans two), then sums of path lengths by slice. The vocabulary in question is a byte-BPE,
 whose encoding isn't the path with the best score; so for it the step's condition is agreement with the token before,
-which leaves exactly one path, the tokenizer's own (trie.BpeCount). For unigram vocabularies the score decides
-(trie.unigram_count). Texts are reduced to a count before anything is shuffled; the sums are made per paper before
+which leaves exactly one path, the tokenizer's own (trie.BpeCount). For a vocabulary of tokens and scores, which every
+operator here takes in place of a rank file, the score decides (trie.unigram_count). Texts are reduced to a count before anything is shuffled; the sums are made per paper before
 the papers join.
 """
 
@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.trie import BpeCount, DoubleArrayTrie
-from folioforge.llm.vocab import SEGMENT, SPLIT, TOKENIZERS, Memo, read_ranks
+from folioforge.llm.trie import BpeCount, DoubleArrayTrie, unigram_count
+from folioforge.llm.vocab import SEGMENT, SPLIT, TOKENIZERS, WHITE, Memo, read_ranks
 from folioforge.operators.skew import heavy_lookup
 from folioforge.session import written
 
@@ -32,13 +32,42 @@ def segment_counter(ranks: dict[bytes, int], trie: DoubleArrayTrie):
     return lambda text: sum(map(memo.__getitem__, segments(text)))
 
 
-def token_counts(rows: DataFrame, text: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` and n_tokens of every row. Null and empty texts have 0 tokens."""
-    ranks = read_ranks(vocabulary)
-    sent = rows.sparkSession.sparkContext.broadcast((ranks, DoubleArrayTrie(ranks)))  # a few MB, given by the vocabulary
+def spans_segments(token: bytes) -> bool:
+    """Whether the token may hold the end of one segment and the beginning of the next."""
+    import re
+
+    try:
+        return bool(re.search(f"[^{WHITE}][{WHITE}]", token.decode()))
+    except UnicodeDecodeError:  # parts of characters; a single byte is in one segment
+        return len(token) > 1
+
+
+def scored_counter(scores: list[float], trie: DoubleArrayTrie, whole: bool):
+    """Function from text to its number of tokens under a unigram vocabulary; `whole` where tokens span segments."""
+    import re
+
+    if whole:
+        return lambda text: unigram_count(trie, scores, text.encode())
+    segments = re.compile(SEGMENT).findall
+    memo = Memo(lambda s: unigram_count(trie, scores, s.encode()))
+    return lambda text: sum(map(memo.__getitem__, segments(text)))
+
+
+def token_counts(rows: DataFrame, text: str = "text", vocabulary: str | dict[bytes, float] = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` and n_tokens of every row. Null and empty texts have 0 tokens.
+
+    vocabulary: the path of a rank file, or the scores of a unigram vocabulary's tokens.
+    """
+    if isinstance(vocabulary, dict):
+        make, trie = scored_counter, DoubleArrayTrie({t: k for k, t in enumerate(vocabulary)})
+        given = (list(vocabulary.values()), trie, any(map(spans_segments, vocabulary)))
+    else:
+        make, ranks = segment_counter, read_ranks(vocabulary)
+        given = (ranks, DoubleArrayTrie(ranks))
+    sent = rows.sparkSession.sparkContext.broadcast(given)  # a few MB, given by the vocabulary
 
     def run(batches):
-        count = segment_counter(*sent.value)
+        count = make(*sent.value)
         for b in batches:
             n = [count(x) if x else 0 for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
@@ -54,7 +83,7 @@ def plain_lang(lang):
     return F.when(base.isNull() | base.isin("", "und"), F.lit("unknown")).otherwise(base)
 
 
-def counted_once(items: DataFrame, vocabulary: str) -> DataFrame:
+def counted_once(items: DataFrame, vocabulary: str | dict[bytes, float]) -> DataFrame:
     """(item_id, source_doc, section, n_tokens), one row an item, written.
 
     Of rows of one item_id that differ the one with the most tokens counts, ties by source_doc and section. Rows without item_id are
@@ -71,7 +100,7 @@ def paper_facts(papers: DataFrame) -> DataFrame:
     return facts.select("source_doc", F.coalesce("p.source", F.lit("unknown")).alias("source"), plain_lang(F.col("p.lang")).alias("lang"))
 
 
-def item_tokens(items: DataFrame, papers: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+def item_tokens(items: DataFrame, papers: DataFrame, vocabulary: str | dict[bytes, float] = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """(item_id, source, lang, section, n_tokens): each item once, with the slices it belongs to.
 
     Items whose paper is missing, null or has no source are 'unknown' there; null sections too. Null and empty texts have 0 tokens.
@@ -83,7 +112,7 @@ def item_tokens(items: DataFrame, papers: DataFrame, vocabulary: str = f"{TOKENI
     return heavy_lookup(once, table, ["paper"], "n", once.count()).select("item_id", "source", "lang", "section", "n_tokens")
 
 
-def token_budget(items: DataFrame, papers: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+def token_budget(items: DataFrame, papers: DataFrame, vocabulary: str | dict[bytes, float] = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """(slice, source, lang, section, n_items, n_tokens): totals by paper source and language, and by section.
 
     slice is 'source_lang' (section null) or 'section' (source and lang null). Items count as in item_tokens. Empty tables give no row.
