@@ -243,32 +243,32 @@ def turns(body: DataFrame) -> DataFrame:
 
 
 def line_pairs(body: DataFrame, turned: DataFrame) -> DataFrame:
-    """(block_id, i, a, mark, b): lines that end in a hyphen, with the first word of what follows on the page or the next."""
+    """(block_id, i, a, mark, b, next_id): lines that end in a hyphen, with the first word of what follows on the page or the next, and its block."""
 
     def run(batches):
         for b in batches:
             out = []
             for blocks in b.column(0).to_pylist():
                 flat = [(x["block_id"], i, t) for x in blocks for i, t in enumerate(x["lines"])]
-                for (block, i, one), (_, _, two) in pairwise(flat):
+                for (block, i, one), (following, _, two) in pairwise(flat):
                     if (t := tail_of(one)) and (h := head_of(two)[0]):
-                        out.append((block, i, *t, h))
-            cols = list(zip(*out)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["block_id", "i", "a", "mark", "b"])
+                        out.append((block, i, *t, h, following))
+            cols = list(zip(*out)) or [()] * 6
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["block_id", "i", "a", "mark", "b", "next_id"])
 
     def over(batches):
         for b in batches:
             out = []
-            for block, size, one, two in zip(*(c.to_pylist() for c in b.columns)):
+            for block, size, one, following, two in zip(*(c.to_pylist() for c in b.columns)):
                 if (t := tail_of(one)) and (h := head_of(two)[0]):
-                    out.append((block, size - 1, *t, h))
-            cols = list(zip(*out)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["block_id", "i", "a", "mark", "b"])
+                    out.append((block, size - 1, *t, h, following))
+            cols = list(zip(*out)) or [()] * 6
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["block_id", "i", "a", "mark", "b", "next_id"])
 
-    schema = "block_id long, i int, a string, mark string, b string"
-    return body.select("blocks").mapInArrow(run, schema).unionByName(turned.select("last_id", "last_size", "last_line", "next_line").mapInArrow(over, schema))
+    schema = "block_id long, i int, a string, mark string, b string, next_id long"
+    return body.select("blocks").mapInArrow(run, schema).unionByName(turned.select("last_id", "last_size", "last_line", "next_id", "next_line").mapInArrow(over, schema))
 
 
 def pair_features(a: str, b: str, mark: str, joined: float, compound: float, first: float, second: float, folded: float) -> list[float]:
@@ -393,7 +393,7 @@ def tokens_of(text: str) -> dict[str, int]:
 
 
 def block_tokens(paged: DataFrame) -> DataFrame:
-    """(block_id, word, n): the words of each block, furniture included. What a hyphen parts at a line's end is one word; halves at a block's ends aren't words.
+    """(block_id, word, n): the words of each block, furniture included. What a hyphen parts at a line's end is one word; the half at a block's end is no word (parted_tokens).
 
     A compound parted there becomes a word that is like no other and isn't corrected; halves with signs that letters are read as count by themselves too.
     """
@@ -412,7 +412,7 @@ def block_tokens(paged: DataFrame) -> DataFrame:
                                 halves += " ".join(h for h in (t[0], head_of(lines[i + 1])[0]) if not h.isalpha()) + " "
                     joined = "\n".join(lines).replace("\x00\n", "")
                     if joined.endswith("\x00"):
-                        joined = joined.rpartition(" ")[0] if " " in joined else ""
+                        joined = " ".join(joined.split()[:-1])
                     found = tokens_of(f"{joined} {halves}")
                     ids += [x["block_id"]] * len(found)
                     words += found.keys()
@@ -422,6 +422,21 @@ def block_tokens(paged: DataFrame) -> DataFrame:
     return paged.select("blocks").mapInArrow(run, "block_id long, word string, n long")
 
 
+def parted_tokens(pairs: DataFrame) -> DataFrame:
+    """(block_id, word, n): the words that a hyphen parts between two blocks, as words of both; counted in the first, so n is 0 in the second."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for one, two, a, h in zip(*(c.to_pylist() for c in b.columns)):
+                for word, n in tokens_of(a + h).items():
+                    out += [(one, word, n), (two, word, 0)]
+            cols = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.string(), pa.int64()])], names=["block_id", "word", "n"])
+
+    return pairs.where("block_id <> next_id").select("block_id", "next_id", "a", "b").mapInArrow(run, "block_id long, word string, n long")
+
+
 def grams(word: str, q: int = 3) -> list[str]:
     s = f"^{skeleton(word)}$"
     return sorted({s[k : k + q] for k in range(max(1, len(s) - q + 1))})
@@ -561,7 +576,7 @@ def repaired(blocks: DataFrame) -> dict[str, DataFrame]:
     n = pairs.groupBy("a", "mark", "b").agg(F.count(F.lit(1)).alias("n"))
     hyphens = written(heavy_lookup(pairs, one.join(n, ["a", "mark", "b"]), ["a", "mark", "b"], "n", pairs.count()), "hyphens")
     splits = written(going_on(body, turned), "splits")
-    tokens = written(block_tokens(paged), "tokens")
+    tokens = written(block_tokens(paged).unionByName(parted_tokens(pairs)), "tokens")
     vocabulary = written(tokens.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
     misread = written(replacements(vocabulary), "misread")
     return {"paged": paged, "furniture": found, "body": body, "hyphens": hyphens, "splits": splits, "misread": misread, "tokens": tokens, "vocabulary": vocabulary}

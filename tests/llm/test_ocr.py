@@ -17,3 +17,25 @@ def test_p2_true_words_that_are_rare_in_a_large_corpus(spark):
     got = {r.word: r.meant for r in p2.replacements(words).collect()}
     want = {"tickcts": "tickets", "sh0es": "shoes", "drivcrs": "drivers", "exper1ments": "experiments", "bccause": "because", "bccausc": "because"}
     assert got == want
+
+
+def page_turns():
+    """Papers whose pages end and begin within a word, in two of them with a misread character in one half."""
+    line = " ".join(COMMONEST)
+    rows = [(k, f"doc{k % 40}", k // 40, 0, "text", f"The {line}.\nThe {line}.") for k in range(120)]
+    turned = [("The teacher saw the beau-", "tiful village."), ("The teacher saw the rem-", "embcr village."), ("The teacher saw the k1t-", "chen village.")]
+    for d, (last, first) in enumerate(turned):
+        rows += [(1000 + 2 * d, f"turn{d}", 0, 0, "text", f"The {line}.\n{last}"), (1001 + 2 * d, f"turn{d}", 1, 0, "text", f"{first}\nThe {line}.")]
+    return rows
+
+
+def test_p2_words_broken_between_blocks(spark):
+    df = spark.createDataFrame(page_turns(), "block_id long, source_doc string, page int, block_order int, label string, text string")
+    got = {r.block_id for r in p2.defects(df).where("defect = 'char'").collect()}
+    assert got == {1002, 1003, 1004, 1005}
+
+
+def test_p2_only_the_half_at_a_blocks_end_is_left_out(spark):
+    text = "school\tgarden\nbeau-"
+    paged = p2.pages(spark.createDataFrame([(1, "d", 0, 0, "text", text)], "block_id long, source_doc string, page int, block_order int, label string, text string"))
+    assert {r.word: r.n for r in p2.block_tokens(paged).collect()} == {"school": 1, "garden": 1}
