@@ -277,6 +277,27 @@ def pair_features(a: str, b: str, mark: str, joined: float, compound: float, fir
     return [lg(joined), lg(compound), lg(first), lg(second), lg(folded), lg(joined) - lg(compound), lg(folded) - lg(compound), float(len(a)), float(len(b)), float(mark == "-"), float(b.isalpha())]
 
 
+def broken_examples(words: DataFrame, total: int) -> tuple[list[list[float]], list[float]]:
+    """Features and target (1 broken, 0 compound) of common words and compounds, broken; how often their halves occur is looked up among all words, as in scoring."""
+    sample = words.where(F.col("n") >= max(3, COMMON * total)).where("length(word) >= 4").orderBy(F.xxhash64("word")).limit(SAMPLE // 4).collect()  # at most SAMPLE / 4 rows
+    rng, cuts = np.random.default_rng(2), []
+    for r in sample:
+        if "-" in r.word:
+            a, _, b = r.word.partition("-")
+            cuts += [(a, b, mark, 0.0, r.n / total, 0.0, 0.0) for mark in "--‐¬\xad"]
+        else:
+            for _ in range(2):
+                k = int(rng.integers(2, len(r.word) - 1))
+                mark = "---‐¬\xad"[rng.integers(6)]
+                lost = rng.random() < 0.1  # a misread half: only the skeleton is known
+                cuts.append((r.word[:k], r.word[k:], mark, 0.0 if lost else r.n / total, 0.0, r.n / total, 1.0))
+    halves = sorted({h for c in cuts for h in c[:2]})  # at most SAMPLE
+    asked = words.sparkSession.createDataFrame([(h,) for h in halves], "word string")
+    known = {r.word: r.n / total for r in words.join(F.broadcast(asked), "word").collect()}
+    x = [pair_features(a, b, mark, joined, compound, known.get(a, 0.0), known.get(b, 0.0), folded) for a, b, mark, joined, compound, folded, _ in cuts]
+    return x, [c[-1] for c in cuts]
+
+
 def broken_words(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """(a, mark, b): the pairs that are one broken word, not a compound. words: (word, n) within lines, compounds included."""
     spark = pairs.sparkSession
@@ -287,25 +308,8 @@ def broken_words(pairs: DataFrame, words: DataFrame) -> DataFrame:
     folded_words = with_skeleton(words.where("n >= 2")).groupBy("sk").agg(F.max("n").alias("sn"))
     folded = with_skeleton(kinds.select("a", "mark", "b", F.concat("a", "b").alias("word"))).join(folded_words, "sk", "left").select("a", "mark", "b", F.coalesce("sn", F.lit(0)).alias("n4"))
     wide = found.groupBy("a", "mark", "b").agg(*(F.coalesce(F.max(F.when(F.col("slot") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(4))).join(folded, ["a", "mark", "b"])
-    sample = words.where("n >= 3 and length(word) >= 4").orderBy(F.xxhash64("word")).limit(SAMPLE // 4).collect()  # at most SAMPLE / 4 rows
-    rng, x, y = np.random.default_rng(2), [], []
-    known = {r.word: r.n / total for r in sample}
-    top: dict[str, float] = {}
-    for w, n in known.items():
-        top[skeleton(w)] = max(top.get(skeleton(w), 0.0), n)
-    for w, n in known.items():
-        if "-" in w:
-            a, _, b = w.partition("-")
-            for mark in "--‐¬\xad":
-                x.append(pair_features(a, b, mark, 0.0, n, known.get(a, n), known.get(b, n), 0.0))
-                y.append(0.0)
-        else:
-            for _ in range(2):
-                k = int(rng.integers(2, len(w) - 1))
-                mark = "---‐¬\xad"[rng.integers(6)]
-                lost = rng.random() < 0.1  # a misread half: only the skeleton is known
-                x.append(pair_features(w[:k], w[k:], mark, 0.0 if lost else n, 0.0, known.get(w[:k], 0.0), known.get(w[k:], 0.0), n))
-                y.append(1.0)
+    x, y = broken_examples(words, total)
+    rng = np.random.default_rng(3)
     for _ in range(len(x) // 20):  # nothing is known of either: broken
         x.append(pair_features("abcd", "efgh", "-‐¬\xad"[rng.integers(4)], 0.0, 0.0, 0.0, 0.0, 0.0))
         y.append(1.0)

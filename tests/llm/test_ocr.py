@@ -39,3 +39,15 @@ def test_p2_only_the_half_at_a_blocks_end_is_left_out(spark):
     text = "school\tgarden\nbeau-"
     paged = p2.pages(spark.createDataFrame([(1, "d", 0, 0, "text", text)], "block_id long, source_doc string, page int, block_order int, label string, text string"))
     assert {r.word: r.n for r in p2.block_tokens(paged).collect()} == {"school": 1, "garden": 1}
+
+
+def test_p2_halves_are_looked_up_among_all_words(spark):
+    """The halves of a compound are too short for the sample or rare; misread forms reach three occurrences and are no examples."""
+    total = 1_000_000
+    rare = [("by", 400), ("gone", 4), ("by-gone", 300), ("self", 0), ("bccause", 3), ("schoo1", 5)]
+    words = spark.createDataFrame([("school", total - 712), *rare], "word string, n long").where("n > 0")
+    x, y = p2.broken_examples(words, total)
+    f = lambda a, b, first, second: p2.pair_features(a, b, "-", 0.0, 300 / total, first / total, second / total, 0.0)
+    assert f("by", "gone", 400, 4) in x and len(x) == 7 and sum(y) == 2
+    alone = spark.createDataFrame([("school", total - 300), ("by-gone", 300)], "word string, n long")
+    assert f("by", "gone", 0, 0) in p2.broken_examples(alone, total)[0]
