@@ -204,7 +204,7 @@ def piled_lengths(docs: DataFrame, total: int, least: float = 2e-4) -> dict[str
 
     At most 1/`least` pairs satisfy that, so many are sent to the driver. Under None: all these lengths.
     """
-    by = docs.groupBy("source", F.length("text").alias("size")).agg(F.count(F.lit(1)).alias("n")).where("size >= 100")
+    by = docs.groupBy("source", F.length("text").alias("size")).agg(F.count(F.lit(1)).alias("n"))
     of = docs.groupBy("source").agg(F.count(F.lit(1)).alias("all"))
     near = by.select("source", F.explode(F.sequence(F.col("size") - 10, F.col("size") + 10)).alias("size"), F.col("n").alias("m")).groupBy("source", "size").agg(F.sum("m").alias("around"))
     big = by.where((F.col("n") >= 5) & (F.col("n") >= least * total)).join(of, "source").where("n >= 0.01 * all").join(near, ["source", "size"]).where("n >= 0.33 * around")
