@@ -21,6 +21,7 @@ from folioforge.operators.graph import components
 from folioforge.session import written
 
 BANDS, ROWS, BITS, PLACES = 80, 4, 256, 1 << 20
+LEAST = 0.5  # the similarity that bands and bits are made for; below it they would lose pairs
 LEAST_BITS = 158  # of 256: at similarity 0.5 the mean is 192, the standard deviation 6.9
 
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -228,6 +229,13 @@ def class_links(rows: DataFrame, sketches: DataFrame, least: float) -> DataFrame
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
+def checked(least: float) -> float:
+    """`least`, if the bands and bits find pairs from it on."""
+    if not least >= LEAST:
+        raise ValueError(f"similarities below {LEAST} can't be found with {BANDS} bands of {ROWS} and {LEAST_BITS} bits: {least}")
+    return least
+
+
 def named(items: DataFrame, key: str, text: str) -> DataFrame:
     return items.select(items[key].cast("string").alias("id"), items[text].cast("string").alias("text")).where("id is not null and text is not null")
 
@@ -236,7 +244,9 @@ def near_pairs(items: DataFrame, key: str = "item_id", text: str = "text", least
     """(item_a, item_b), item_a < item_b: all pairs of different ids with similarity of at least `least`.
 
     Null ids and texts, and texts of fewer than three words, have no pair. Repeated rows count once; if rows of one id differ, each text counts.
+    `least` below LEAST is an error.
     """
+    least = checked(least)
     rows = named(items, key, text)
     sketches = written(sketched(rows), "sketches")
     links = written(class_links(rows, sketches, least), "links")
@@ -249,8 +259,9 @@ def near_pairs(items: DataFrame, key: str = "item_id", text: str = "text", least
 
 def near_groups(items: DataFrame, key: str = "item_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """(item_id, group, links): each item's group - the smallest item of those it is linked with, directly or through others - and how many other classes
-    it is linked with. Items without text or of fewer than three words are groups of their own. Null ids are left out.
+    it is linked with. Items without text or of fewer than three words are groups of their own. Null ids are left out. `least` below LEAST is an error.
     """
+    least = checked(least)
     rows = named(items, key, text)
     sketches = written(sketched(rows), "sketches")
     links = written(class_links(rows, sketches, least), "links")
