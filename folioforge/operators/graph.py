@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.session import written
+from folioforge.session import dropped, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -27,6 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         new = written(small.where("u <> v").distinct(), "edges")
         if not new.join(e, ["u", "v"], "left_anti").limit(1).count() and new.count() == e.count():
+            dropped(e, large)
             return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        dropped(e, large)
         e = new
     raise RuntimeError("components: more rounds needed")

@@ -19,3 +19,14 @@ def heavy_lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
     cold = table.where(F.col(count) < least).drop(count)
     flagged = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return rows.join(F.broadcast(hot), keys).unionByName(flagged.join(cold, keys))
+
+
+def hash_sample(rows: DataFrame, keys: list[str], most: int, total: int | None = None) -> DataFrame:
+    """About `most` different rows (by `keys`) of `rows`, the same at every run: those whose keys' hash is below a threshold. All of them if there are fewer.
+
+    `total` is the number of rows, counted if not given. Only sampled rows leave their task; none of them meet in one.
+    """
+    total = rows.count() if total is None else total
+    if total > most:
+        rows = rows.where(F.xxhash64(*keys) < int((most / total - 0.5) * 2**64))
+    return rows.dropDuplicates(keys)

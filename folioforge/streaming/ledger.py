@@ -25,9 +25,16 @@ def windowed(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> D
     return w.select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
-def finish(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there, to its end, and return the table it left."""
-    spark = df.sparkSession
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def finish(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over what is there, to its end, and return the table it left in `folder`, which executors write and read.
+
+    mode 'append' writes each window once, when the watermark has passed it; 'complete' replaces the table with every trigger.
+    """
+    spark, out = df.sparkSession, f"{folder}/table"
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").option("path", out).start()
+    else:
+        q = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(out)

@@ -15,10 +15,10 @@ DATA = os.environ.get("FOLIOFORGE_TEST_DATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from folioforge.session import build_session
 
-    s = build_session("tests", 4, 4, **{"spark.driver.memory": "4g", "spark.sql.adaptive.coalescePartitions.enabled": "true"})
+    s = build_session("tests", 4, 4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.driver.memory": "4g", "spark.sql.adaptive.coalescePartitions.enabled": "true"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
