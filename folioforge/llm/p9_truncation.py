@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.operators.skew import heavy_lookup
-from folioforge.session import written
+from folioforge.operators.skew import hash_sample, heavy_lookup
+from folioforge.session import dropped, written
 
 SAMPLE, HASHED, CUTS = 12_000, 1 << 15, 2
 
@@ -140,9 +140,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rounds: int = 60, decay: float =
     return w
 
 
-def fit_intact(rows: list[np.ndarray], y: np.ndarray, passes: int = 3) -> np.ndarray:
-    """Weights fitted without the values (y 0) that were cut already: those that a fit on the other half of the values finds cut."""
-    half, keep = np.arange(len(rows)) // (CUTS + 1) % 2, np.ones(len(rows), bool)
+def fit_intact(rows: list[np.ndarray], y: np.ndarray, half: np.ndarray, passes: int = 3) -> np.ndarray:
+    """Weights fitted without the values (y 0) that were cut already: those that a fit on the other half of the values finds cut. half: 0 or 1 of each row, the same for a value and its cuts."""
+    keep = np.ones(len(rows), bool)
     for _ in range(passes):
         held = np.zeros(len(rows))
         for h in (0, 1):
@@ -155,84 +155,91 @@ def fit_intact(rows: list[np.ndarray], y: np.ndarray, passes: int = 3) -> np.nda
     return fit([rows[i] for i in train], y[train], 15)
 
 
-def _described(docs: DataFrame, limits: dict[str | None, list[int]], training: bool) -> DataFrame:
-    """(row, y, feats ARRAY<INT>, cross ARRAY<STRING>, word) of docs (row, text, kind, source)."""
-    sent = docs.sparkSession.sparkContext.broadcast(limits)
+def _described(docs: DataFrame, common: list[int] | None = None) -> DataFrame:
+    """(row, y, feats ARRAY<INT>, cross ARRAY<STRING>, word, df) of docs (row, text, kind, limit, own): y is 0 for a text as it stands, 1 for a cut one.
 
-    def run(batches):
-        limits = sent.value
-        for b in batches:
-            out = []
-            for row, text, kind, source in zip(*(c.to_pylist() for c in b.columns)):
-                own = limits.get(source, [])
-                out.append((row, 0, *describe(text, kind, len(text) in own)))
-                if training:
-                    import xxhash
-
-                    rng = np.random.default_rng(xxhash.xxh32_intdigest(text[:4000]))
-                    for _ in range(CUTS):
-                        c = cut(text, own or limits[None], rng)
-                        if c:
-                            out.append((row, 1, *describe(c[0], kind, c[1] or len(c[0]) in own)))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array([hashed(f) for f in cols[2]], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.string())), pa.array(cols[4], pa.string())],
-                names=["row", "y", "feats", "cross", "word"],
-            )
-
-    return docs.mapInArrow(run, "row long, y int, feats array<int>, cross array<string>, word string")
-
-
-def whole_words(docs: DataFrame) -> DataFrame:
-    """(word, df): in how many texts each word stands before the last word. Counted per batch before the shuffle."""
+    Given `common` (lengths to cut at where `own`, those of the source, is null), each text also comes cut. Without it, rows of y -1 tell in how many
+    texts (df) each word stands before the last word; they are summed in each task before they leave it.
+    """
 
     def run(batches):
         from collections import Counter
 
-        for b in batches:
-            n: Counter = Counter()
-            for i in range(0, b.num_rows, 500):
-                for text in b.column(0).slice(i, 500).to_pylist():
-                    n.update({w.lower() for w in set(_letters.findall(text[: text.rstrip().rfind(" ") + 1]))})
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "df"])
+        import xxhash
+
+        n: Counter = Counter()
+
+        def counts():
+            empty = pa.nulls(len(n))
+            got = pa.RecordBatch.from_arrays(
+                [empty.cast(pa.int64()), pa.array([-1] * len(n), pa.int32()), empty.cast(pa.list_(pa.int32())), empty.cast(pa.list_(pa.string())), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=names
+            )
+            n.clear()
+            return got
+
+        names = ["row", "y", "feats", "cross", "word", "df"]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                out = []
+                for row, text, kind, limit, own in zip(*(c.to_pylist() for c in batch.slice(i, 1000).columns)):
+                    out.append((row, 0, *describe(text, kind, limit)))
+                    if common is None:
+                        n.update({w.lower() for w in set(_letters.findall(text[: text.rstrip().rfind(" ") + 1]))})
+                        continue
+                    own, rng = own or [], np.random.default_rng(xxhash.xxh32_intdigest(text))
+                    for _ in range(CUTS):
+                        c = cut(text, own or common, rng)
+                        if c:
+                            out.append((row, 1, *describe(c[0], kind, c[1] or len(c[0]) in own)))
+                cols = list(zip(*out)) or [()] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array([hashed(f) for f in cols[2]], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.string())), pa.array(cols[4], pa.string()), pa.nulls(len(out), pa.int64())],
+                    names=names,
+                )
+                if len(n) > 200_000:
+                    yield counts()
+        if n:
+            yield counts()
 
-    return docs.select("text").mapInArrow(run, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    return docs.select("row", "text", "kind", "limit", "own").mapInArrow(run, "row long, y int, feats array<int>, cross array<string>, word string, df long")
 
 
-def piled_lengths(docs: DataFrame, total: int, least: float = 2e-4) -> dict[str | None, list[int]]:
-    """For each source, the lengths that at least five of its documents, 1 % of these, and `least` of all documents share, and that are ten times as common as those around.
+def piled_lengths(sizes: DataFrame, support: int = 5) -> DataFrame:
+    """(source, size, n): for each source, the lengths that 1 % of its documents and at least `support` of them share, and that are ten times as common as those around.
 
-    At most 1/`least` pairs satisfy that, so many are sent to the driver. Under None: all these lengths.
+    sizes: (source, size, n), in how many documents of the source each length stands. A source's lengths depend on its own documents alone; it has at most a hundred.
     """
-    by = docs.groupBy("source", F.length("text").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    of = docs.groupBy("source").agg(F.count(F.lit(1)).alias("all"))
-    near = by.select("source", F.explode(F.sequence(F.col("size") - 10, F.col("size") + 10)).alias("size"), F.col("n").alias("m")).groupBy("source", "size").agg(F.sum("m").alias("around"))
-    big = by.where((F.col("n") >= 5) & (F.col("n") >= least * total)).join(of, "source").where("n >= 0.01 * all").join(near, ["source", "size"]).where("n >= 0.33 * around")
-    out: dict[str | None, list[int]] = {}
-    for r in big.select("source", "size").collect():
-        out.setdefault(r.source, []).append(r["size"])
-    out[None] = sorted({x for v in out.values() for x in v})
-    return out
+    of = sizes.groupBy("source").agg(F.sum("n").alias("all"))
+    some = sizes.where(F.col("n") >= support).join(of, "source").where("n >= 0.01 * all").drop("all")
+    around = some.select("source", F.col("size").alias("at"), F.explode(F.sequence(F.col("size") - 10, F.col("size") + 10)).alias("size")).join(sizes, ["source", "size"])
+    around = around.groupBy("source", F.col("at").alias("size")).agg(F.sum("n").alias("around"))
+    return some.join(around, ["source", "size"]).where("n >= 0.33 * around").select("source", "size", "n")
 
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", kind: str = "doc_kind", sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score, cut): log-odds that each document was cut, and whether it counts as cut.
 
     Null, empty and blank texts, and tables without any text long enough to be cut, have no row. Null sources count as
-    one source; null kinds are a kind. Repeated rows and null keys are kept as they are.
+    one source; null kinds are a kind. Repeated rows and null keys are kept as they are. About `sample` documents are cut for training.
     """
     spark = docs.sparkSession
     plain = docs.select(docs[key].cast("long").alias("row"), docs[text].cast("string").alias("text"), docs[kind].cast("string").alias("kind"), F.coalesce(docs[source].cast("string"), F.lit("")).alias("source"))
-    full = plain.where("trim(regexp_replace(text, '\\\\s+', ' ')) <> ''")
-    total = full.count()
-    limits = piled_lengths(full, total)
-    vocabulary = written(whole_words(full), "words")
+    full = plain.where("text rlike '[^\\\\s]'")
+    sizes = written(full.groupBy("source", F.length("text").alias("size")).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    limits = written(piled_lengths(sizes), "limits")
+    dropped(sizes)
+    # a table of at most a hundred rows a source: broadcast by the planner where its size allows
+    known = full.withColumn("size", F.length("text")).join(limits.select("source", "size", F.lit(True).alias("limit")), ["source", "size"], "left").withColumn("limit", F.coalesce("limit", F.lit(False)))
+    described = written(_described(known.withColumn("own", F.lit(None).cast("array<int>"))), "described")
+    vocabulary = written(described.where("y = -1").groupBy("word").agg(F.sum("df").alias("df")), "words")
 
     def with_df(rows: DataFrame) -> DataFrame:
+        rows = rows.where("y >= 0").drop("df")
         used = rows.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         table = used.join(vocabulary, "word", "left").select("word", "n", F.coalesce("df", F.lit(0)).alias("df"))
-        known = heavy_lookup(rows.where("word <> ''"), table, ["word"], "n", max(1, total))
-        return known.select(*rows.columns, "df").unionByName(rows.where("word = ''").withColumn("df", F.lit(None).cast("long")))
+        found = heavy_lookup(rows.where("word <> ''"), table, ["word"], "n", max(1, total))
+        return found.select(*rows.columns, "df").unionByName(rows.where("word = ''").withColumn("df", F.lit(None).cast("long")))
 
     def level(df: int | None) -> str:
         return "-" if df is None else "0" if df == 0 else str(int(np.log10(df / total) * 2)) if df > 2 else "few"
@@ -241,13 +248,15 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
         k = level(df)
         return feats + hashed([f"K={k}"] + [f"K={k}|{c}" for c in cross])
 
-    some = full.where("length(text) >= 12").orderBy(F.xxhash64("row", "text")).limit(sample)
-    got = with_df(written(_described(some, limits, True), "sample")).select("y", "feats", "cross", "df").toArrow()  # at most `sample` x (1 + CUTS) rows
+    own = limits.groupBy("source").agg(F.collect_list("size").alias("own"))  # at most a hundred of a source
+    some = hash_sample(known.where("size >= 12"), ["row", "text"], sample, total).join(own, "source", "left")
+    common = [r["size"] for r in limits.groupBy("size").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "size").limit(100).collect()]
+    got = with_df(written(_described(some, common), "sample")).orderBy("row", "y", "word", F.xxhash64("feats", "cross")).select("y", "feats", "cross", "df", F.pmod(F.xxhash64("row"), F.lit(2)).alias("half")).toArrow()  # about `sample` x (1 + CUTS) rows
     w = np.zeros(HASHED)
     if got.num_rows:
         rows = [np.unique(indices(f, c, d)) for f, c, d in zip(got["feats"].to_pylist(), got["cross"].to_pylist(), got["df"].to_pylist())]
         y = got["y"].to_numpy().astype(float)
-        w = fit_intact(rows, y)
+        w = fit_intact(rows, y, got["half"].to_numpy())
     sent = spark.sparkContext.broadcast(w)
 
     def run(batches):
@@ -256,8 +265,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
             s = [float(w[np.unique(indices(f, c, d))].sum()) for f, c, d in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["row", "score"])
 
-    all_rows = written(_described(full.select("row", "text", "kind", "source"), limits, False), "described")
-    result = with_df(all_rows).select("row", "feats", "cross", "df").mapInArrow(run, "row long, score double")
+    result = with_df(described).select("row", "feats", "cross", "df").mapInArrow(run, "row long, score double")
     return result.select(F.col("row").alias(key), "score", (F.col("score") > 0).alias("cut"))
 
 
