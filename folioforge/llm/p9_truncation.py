@@ -4,7 +4,8 @@ Method. Positives are made by cutting intact values: at the lengths that pile up
 at the cut. Hashed logistic regression on how a text closes - its last characters, word and line, punctuation and open
 quotes, how the text is punctuated elsewhere, whether its last word occurs as a whole word inside other texts, and whether its length
 is one at which texts of its source pile up - is fitted on a bounded sample on the driver, without the values that fits on other values
-find cut already. Then every record is scored; it counts as cut where the log-odds are above 0.
+find cut already. Then every record is scored. Cut values are commoner in training than among the records; how common they are there is estimated
+from all scores by expectation maximisation and moves the log-odds; a record counts as cut where these are above 0.
 
 Corpus statistics (lengths by source, words inside texts) are counted over all documents. Words are looked up by a join that splits hot
 words (operators.skew.heavy_lookup).
@@ -140,8 +141,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rounds: int = 60, decay: float =
     return w
 
 
-def fit_intact(rows: list[np.ndarray], y: np.ndarray, half: np.ndarray, passes: int = 3) -> np.ndarray:
-    """Weights fitted without the values (y 0) that were cut already: those that a fit on the other half of the values finds cut. half: 0 or 1 of each row, the same for a value and its cuts."""
+def fit_intact(rows: list[np.ndarray], y: np.ndarray, half: np.ndarray, passes: int = 3) -> tuple[np.ndarray, float]:
+    """Weights, and the share of cut values in what they were fitted on: fitted without the values (y 0) that were cut already: those that a fit on the other half of the values finds cut. half: 0 or 1 of each row, the same for a value and its cuts."""
     keep = np.ones(len(rows), bool)
     for _ in range(passes):
         held = np.zeros(len(rows))
@@ -152,7 +153,16 @@ def fit_intact(rows: list[np.ndarray], y: np.ndarray, half: np.ndarray, passes:
                 held[i] = w[rows[i]].sum()
         keep = (y == 1) | (held < 0)
     train = np.flatnonzero(keep)
-    return fit([rows[i] for i in train], y[train], 15)
+    return fit([rows[i] for i in train], y[train], 15), float(y[train].mean())
+
+
+def real_share(scores: np.ndarray, n: np.ndarray, fitted: float, rounds: int = 300) -> float:
+    """The share of cut values where score `scores` occurs `n` times, if the weights were fitted on a share of `fitted`: by expectation maximisation."""
+    logit = lambda p: np.log(p / (1 - p))
+    share = fitted
+    for _ in range(rounds):
+        share = float(np.clip((n / (1 + np.exp(-np.clip(scores + logit(share) - logit(fitted), -60, 60)))).sum() / n.sum(), 1e-9, 1 - 1e-9))
+    return share
 
 
 def _described(docs: DataFrame, common: list[int] | None = None) -> DataFrame:
@@ -252,11 +262,11 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     some = hash_sample(known.where("size >= 12"), ["row", "text"], sample, total).join(own, "source", "left")
     common = [r["size"] for r in limits.groupBy("size").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "size").limit(100).collect()]
     got = with_df(written(_described(some, common), "sample")).orderBy("row", "y", "word", F.xxhash64("feats", "cross")).select("y", "feats", "cross", "df", F.pmod(F.xxhash64("row"), F.lit(2)).alias("half")).toArrow()  # about `sample` x (1 + CUTS) rows
-    w = np.zeros(HASHED)
+    w, fitted = np.zeros(HASHED), 0.5
     if got.num_rows:
         rows = [np.unique(indices(f, c, d)) for f, c, d in zip(got["feats"].to_pylist(), got["cross"].to_pylist(), got["df"].to_pylist())]
         y = got["y"].to_numpy().astype(float)
-        w = fit_intact(rows, y, got["half"].to_numpy())
+        w, fitted = fit_intact(rows, y, got["half"].to_numpy())
     sent = spark.sparkContext.broadcast(w)
 
     def run(batches):
@@ -265,8 +275,14 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
             s = [float(w[np.unique(indices(f, c, d))].sum()) for f, c, d in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["row", "score"])
 
-    result = with_df(described).select("row", "feats", "cross", "df").mapInArrow(run, "row long, score double")
-    return result.select(F.col("row").alias(key), "score", (F.col("score") > 0).alias("cut"))
+    result = written(with_df(described).select("row", "feats", "cross", "df").mapInArrow(run, "row long, score double"), "scores")
+    by = result.groupBy(F.round(F.greatest(F.least("score", F.lit(30.0)), F.lit(-30.0)), 1).alias("s")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 601 rows
+    shift = 0.0
+    if by.num_rows and 0 < fitted < 1:
+        real = real_share(by["s"].to_numpy(), by["n"].to_numpy(), fitted)
+        shift = float(np.log(real / (1 - real)) - np.log(fitted / (1 - fitted)))
+    score = F.col("score") + F.lit(shift)
+    return result.select(F.col("row").alias(key), score.alias("score"), (score > 0).alias("cut"))
 
 
 def _docs(spark, sf_dir: str) -> DataFrame:
