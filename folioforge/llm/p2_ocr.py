@@ -2,14 +2,15 @@
 
 Method. Three classifiers and a retrieval, each over the whole collection:
 
-- furniture: gradient-boosted trees on the first and last line of each block - how many pages of the paper have the same line but for
-  its numbers, how many papers have it, whether a number in it runs with the page, place on the page, make-up of the line - fitted to
-  what the recogniser believed (label), which is right often enough to learn from and not always;
+- furniture: gradient-boosted trees on lines - how many pages of the paper have the same line but for its numbers, how many papers have it,
+  whether a number in it runs with the page, place of the block on the page, make-up of the line - fitted to what the recogniser believed
+  (label), which is right often enough to learn from and not always: how much of the furniture it knows is estimated from the fit. Every line
+  of a block is looked at but inner ones that stand on one page of their paper only, which can't be running there;
 - joins: a line pair whose first line ends in a hyphen is a broken word or a compound broken at its own hyphen; trees on how often the
   joined word, the compound and both halves occur within lines, fitted to words and compounds taken from within lines and broken there. A
   second line-pair classifier, fitted to line pairs within blocks and between paragraphs, tells whether a page's last paragraph goes on
   in the first of the next page;
-- misread words: candidates come from an inverted join on the character q-grams of the words' skeletons (look-alikes
+- misread words: candidates come from an inverted join on the rarest character q-grams of the words' skeletons (look-alikes
   folded) between all words and those that stand more than five times as often; gradient-boosted ranking, fitted to common words with characters misread on
   purpose, chooses the replacement or none.
 
@@ -28,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.boost import Boosted
+from folioforge.llm.vocab import Memo
 from folioforge.operators.graph import components
-from folioforge.operators.skew import heavy_lookup
-from folioforge.session import written
+from folioforge.operators.skew import hash_sample, heavy_lookup
+from folioforge.session import dropped, written
 
 SAMPLE = 20_000  # lines, words or pairs that a classifier is fitted on
 COMMON = 2e-5  # share of all words from which on a word is common enough to fit on; any word may be what a rarer one should be
 TIMES = 5  # how many times as often as a misread form its true word stands, at the least
-CUT = "p >= 0.15"  # the chances of the labels are far above this for furniture and far below for anything else
+OWN = 25  # a form of letters that stands more often than its true word / OWN, beyond chance, is a word of its own
+LOST = 5  # q-grams that a misread word lacks of its true word's, at the most, or has beside them: one place of three characters that the skeleton doesn't fold
 FURNITURE = ("header", "footer", "page_number")
 MARKS = "-‐¬\xad‑"
 _word = re.compile("[A-Za-z]+(?:[-‐‑][A-Za-z]+)*")
@@ -50,15 +53,16 @@ MISREAD = [
     ("e", "c"), ("c", "e"), ("a", "@"), ("t", "†"), ("i", "1"), ("l", "1"), ("l", "|"), ("i", "|"), ("o", "0"), ("d", "cl"), ("n", "ri"), ("s", "5"), ("h", "li"), ("g", "9"), ("b", "6"), ("m", "rn"), ("rn", "m"),
     ("in", "m"), ("w", "vv"), ("z", "2"), ("u", "ii"), ("nn", "rm"), ("cl", "d"), ("li", "h"), ("ri", "n"), ("vv", "w"), ("l", "i"), ("i", "l"), ("s", "$"), ("b", "8"), ("g", "q"), ("q", "g")
 ]
-_fold = [("ri", "n"), ("li", "h"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("rn", "m"), ("in", "m")]
-_single = str.maketrans("1|!i0569@†c$82", "llllosbgatesbz")
+_single = str.maketrans("1|!i0569@†c$82qh", "llllosbgatesbzgu")
+_fold = [("rl", "n"), ("el", "d"), ("ll", "u"), ("ln", "m"), ("rn", "m"), ("vv", "w")]
 
 
 def skeleton(word: str) -> str:
-    """The word with characters that are easily misread for each other folded."""
+    """The word with characters that are easily misread for each other folded: single ones first, so that pairs with a misread half fold as well."""
+    word = word.translate(_single)
     for a, b in _fold:
         word = word.replace(a, b)
-    return word.translate(_single)
+    return word
 
 
 # ---------------------------------------------------------------- pages and lines
@@ -80,12 +84,6 @@ def pages(blocks: DataFrame) -> DataFrame:
     return got.select("doc", "page", ordered.alias("blocks"))
 
 
-def line_key(line: str) -> str:
-    """The line with numbers, Roman ones too, as #."""
-    k = re.sub(r"\d+|\b[ivxlc]{1,6}\b", "#", line.strip())
-    return k if len(k) <= 60 else ""
-
-
 def number_of(line: str) -> int | None:
     m = re.search(r"\d+", line)
     if m:
@@ -97,114 +95,171 @@ def number_of(line: str) -> int | None:
     return None
 
 
-def edge_lines(paged: DataFrame) -> DataFrame:
-    """First and last lines of each block that are short, with what can be told from the page."""
+def line_features(line: str, k: int, n: int, page: int, in_doc: bool) -> list[float]:
+    """What can be told of a line from itself and its page: it is in the k-th of the page's n blocks."""
+    s = line.strip()
+    v = number_of(line)
+    off = min(40, abs(v - page - 1)) if v is not None and in_doc else 50
+    letters = sum(c.isalpha() for c in s) or 1
+    return [
+        float(k), float(n - 1 - k), float(k == 0), float(k == n - 1), len(s), off, sum(c.isdigit() for c in s) / len(s), sum(c.isupper() for c in s) / letters, sum("一" <= c <= "鿿" for c in s) / len(s), float(bool(_stop.search(s))),
+        float(s[0].islower()), float(s.count(" ")), float(bool(_roman.match(s))), float(sum(not c.isalnum() and not c.isspace() for c in s)), float(min(k, n - 1 - k)), float(v is not None),
+    ]
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for doc, page, blocks in zip(*(c.to_pylist() for c in b.columns)):
-                n = len(blocks)
-                for k, block in enumerate(blocks):
-                    lines = block["text"].split("\n")
-                    for i in {0, len(lines) - 1}:
-                        line = lines[i]
-                        s = line.strip()
-                        key = line_key(line)
-                        if not key:
-                            continue
-                        v = number_of(line)
-                        off = min(40, abs(v - page - 1)) if v is not None and doc is not None else 50
-                        letters = sum(c.isalpha() for c in s) or 1
-                        feats = [
-                            float(k), float(n - 1 - k), float(k == 0), float(k == n - 1), len(s), off, sum(c.isdigit() for c in s) / len(s), sum(c.isupper() for c in s) / letters, sum("一" <= c <= "鿿" for c in s) / len(s), float(bool(_stop.search(s))),
-                            float(s[0].islower()), float(s.count(" ")), float(bool(_roman.match(s))), float(sum(not c.isalnum() and not c.isspace() for c in s)), float(min(k, n - 1 - k)), float(v is not None),
-                        ]
-                        label = -1 if block["label"] is None else int(block["label"] in FURNITURE)
-                        out.append((doc, page, block["block_id"], i, key, label if len(lines) == 1 or label < 1 else -1, feats))
-            cols = list(zip(*out)) or [()] * 7
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc", "page", "block_id", "i", "key", "label", "feats"])
-
-    return paged.mapInArrow(run, "doc string, page long, block_id long, i int, key string, label int, feats array<double>")
+
+def page_lines(paged: DataFrame) -> DataFrame:
+    """(doc, page, block_id, i, last, k, n, label, line, key): every line that isn't blank; key hashes it with numbers, Roman ones too, as one sign.
+
+    label: 1 furniture by the recogniser, 0 something else, -1 not told, as for lines of a block of several that is furniture.
+    """
+    blocks = paged.select("doc", "page", F.size("blocks").alias("n"), F.posexplode("blocks").alias("k", "b"))
+    split = blocks.select("doc", "page", "n", "k", F.col("b.block_id").alias("block_id"), F.col("b.label").alias("label"), F.split("b.text", "\n").alias("lines"))
+    each = split.select("*", (F.size("lines") - 1).alias("last"), F.posexplode("lines").alias("i", "line")).where("line rlike '(?U)[^\\\\s]'")
+    furniture = F.col("label").isin(*FURNITURE)
+    label = F.when(F.col("label").isNull(), -1).when(~furniture, 0).when(F.col("last") == 0, 1).otherwise(-1)
+    key = F.xxhash64(F.regexp_replace(F.regexp_replace("line", r"(?U)^\s+|\s+$", ""), r"\d+|\b[ivxlc]{1,6}\b", "#"))
+    return each.select("doc", "page", "block_id", "i", "last", "k", "n", label.alias("label"), "line", key.alias("key"))
+
+
+def parting(p: np.ndarray, y: np.ndarray) -> float:
+    """The chance from which on a line is furniture, given chances and labels.
+
+    The recogniser knows a part of the furniture and hardly ever calls anything else so. A line that is furniture has about the chance that labelled lines have; a kind
+    of furniture that it knows half as often has half of that, and the cut lies at half of this again, as for any two classes.
+    """
+    return float(p[y == 1].mean()) / 4 if y.any() else 0.5
 
 
 def furniture(paged: DataFrame) -> DataFrame:
     """(doc, page, block_id, i): the lines that are running headers, running footers or page numbers."""
-    lines = written(edge_lines(paged), "edges")
-    total = lines.count()
-    on = lines.where("doc is not null").groupBy("doc", "key", "page").agg(F.count(F.lit(1)).alias("m")).groupBy("doc", "key").agg(F.count(F.lit(1)).alias("on_pages"), F.sum("m").alias("n"))
+    lines = page_lines(paged)
+    known = lines.where("doc is not null")
+    edge = F.max(F.col("i").isin(0) | (F.col("i") == F.col("last")))
+    on = known.groupBy("doc", "key", "page").agg(F.count(F.lit(1)).alias("m"), edge.alias("edge"))
+    on = on.groupBy("doc", "key").agg(F.count(F.lit(1)).alias("on_pages"), F.sum("m").alias("n"), F.max("edge").alias("edge"))
+    on = written(on.where("edge or on_pages > 1").drop("edge"), "keys")
+    total = on.agg(F.sum("n")).first()[0] or 0
+    n_keys = on.count()
     docs = paged.where("doc is not null").groupBy("doc").agg(F.count(F.lit(1)).alias("n_pages"))
+    docs = written(docs.join(on.groupBy("doc").agg(F.count(F.lit(1)).alias("dn")), "doc"), "docs")
     n_docs = max(1, docs.count())
-    keys = on.groupBy("key").agg(F.count(F.lit(1)).alias("in_docs"), F.avg("on_pages").alias("usual"), F.sum("n").alias("kn"))
-    stats = heavy_lookup(heavy_lookup(on, keys, ["key"], "kn", total), docs.withColumn("dn", F.col("n_pages")), ["doc"], "dn", total)
-    known = heavy_lookup(lines.where("doc is not null"), stats, ["doc", "key"], "n", total)
-    alone = lines.where("doc is null").select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("on_pages", "long"), ("in_docs", "long"), ("usual", "double"))))
+    keys = on.groupBy("key").agg(F.count(F.lit(1)).alias("in_docs"), F.avg("on_pages").alias("usual"))
+    stats = heavy_lookup(heavy_lookup(on, keys.withColumn("kn", F.col("in_docs")), ["key"], "kn", n_keys), docs, ["doc"], "dn", n_keys)
+    stats = written(stats, "stats")
+    every = heavy_lookup(known.withColumnRenamed("n", "blocks"), stats, ["doc", "key"], "n", total).where("i = 0 or i = last or on_pages > 1")
+    alone = lines.where("doc is null").withColumnRenamed("n", "blocks")
     extra = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("on_pages", "in_docs", "usual", "n_pages")))
-    every = known.unionByName(alone, allowMissingColumns=True).withColumn("extra", extra).select("doc", "page", "block_id", "i", "label", "feats", "extra")
-    every = written(every, "lines")
+    every = written(every.unionByName(alone, allowMissingColumns=True).select("doc", "page", "block_id", "i", F.when(F.col("i").isin(0) | (F.col("i") == F.col("last")), F.col("label")).otherwise(-1).alias("label"), "k", "blocks", "line", extra.alias("extra")), "lines")
+    dropped(on, docs, stats)
 
-    def vectors(feats, extra) -> np.ndarray:
+    def vectors(cols) -> np.ndarray:
+        doc, page, _, _, _, k, n, line, extra = cols
         e = np.array(extra, np.float64).reshape(-1, 4)
         on_pages, in_docs, usual, n_pages = e.T
         more = np.stack([np.minimum(on_pages, 6), on_pages / np.maximum(n_pages, 1), np.log10(np.maximum(in_docs, 1e-9) / n_docs + 1e-6), usual], 1)
-        return np.hstack([np.array(feats, np.float64).reshape(len(e), -1), more])
+        own = [line_features(t, a, b, p, d is not None) for d, p, a, b, t in zip(doc, page, k, n, line)]
+        return np.hstack([np.array(own, np.float64).reshape(len(e), -1), more])
 
-    got = every.where("label >= 0").orderBy(F.xxhash64("block_id", "i")).limit(SAMPLE).select("label", "feats", "extra").toArrow()  # at most SAMPLE rows
+    some = every.where("label >= 0")
+    got = hash_sample(some, ["block_id", "i"], SAMPLE).orderBy("block_id", "i").toArrow()  # about SAMPLE rows
     if not got.num_rows:
         return every.where("false").select("doc", "page", "block_id", "i")
-    model = Boosted(vectors(got["feats"].to_pylist(), got["extra"].to_pylist()), got["label"].to_numpy().astype(float))
-    sent = paged.sparkSession.sparkContext.broadcast(model)
+    x, y = vectors([c.to_pylist() for c in got.columns]), got["label"].to_numpy().astype(float)
+    model = Boosted(x, y)
+    sent = paged.sparkSession.sparkContext.broadcast((model, parting(model.chance(x), y)))
 
     def run(batches):
-        model = sent.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            p = model.chance(vectors(b.column(4).to_pylist(), b.column(5).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(p), b.column(6)], names=["doc", "page", "block_id", "i", "p", "label"])
-
-    # A third of the furniture is labelled as text, hardly any text as furniture; so the labels' chance for furniture is well below 1.
-    return every.select("doc", "page", "block_id", "i", "feats", "extra", "label").mapInArrow(run, "doc string, page long, block_id long, i int, p double, label int").where(CUT).select("doc", "page", "block_id", "i")
-
+        model, least = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5000):
+                b = batch.slice(at, 5000)
+                keep = pa.array(model.chance(vectors([c.to_pylist() for c in b.columns])) >= least)
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns[:4]], names=["doc", "page", "block_id", "i"])
 
-def bodies(paged: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc, page, blocks ARRAY<STRUCT<block_id, label, lines>>): pages without furniture; blocks of which nothing is left are gone."""
-    out = found.groupBy("doc", "page").agg(F.collect_set(F.struct("block_id", "i")).alias("out"))  # no more than two lines for each block of a page
-    joined = paged.alias("p").join(out.alias("o"), F.expr("p.doc <=> o.doc and p.page = o.page"), "left").select("p.*", "out")
+    return every.mapInArrow(run, "doc string, page long, block_id long, i int")
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for blocks, out in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                gone = {(x["block_id"], x["i"]) for x in out or ()}
-                kept = []
-                for x in blocks:
-                    lines = [t for i, t in enumerate(x["text"].split("\n")) if (x["block_id"], i) not in gone and t.strip()]
-                    if lines:
-                        kept.append({"block_id": x["block_id"], "label": x["label"], "lines": lines})
-                rows.append(kept)
-            kind = pa.list_(pa.struct([("block_id", pa.int64()), ("label", pa.string()), ("lines", pa.list_(pa.string()))]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, kind)], names=["doc", "page", "blocks"])
 
-    return joined.mapInArrow(run, "doc string, page long, blocks array<struct<block_id:long,label:string,lines:array<string>>>")
+def ragged(sizes: list[int], **columns) -> pa.ListArray:
+    """Lists of structs, `sizes` long, from flat columns."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
 
 
-# ---------------------------------------------------------------- words and joins
-
+def parts(paged: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """What the repair needs of each page, in one pass:
 
-def counted(df: DataFrame, each, name: str) -> DataFrame:
-    """(word, n) of what `each` gives for the lines of a block; summed per batch before the shuffle."""
+    (doc, page, blocks ARRAY<STRUCT<block_id, label, lines>>: the page without furniture, blocks of which nothing is left are gone,
+    tokens ARRAY<STRUCT<block_id, word, n>>: the words of each block, furniture included, see block_tokens,
+    inner ARRAY<STRUCT<word, n>>: words that don't touch a line's end,
+    pairs ARRAY<STRUCT<block_id, i, a, mark, b, next_id>>: lines that end in a hyphen with what follows on the page).
+    """
+    if found is None:
+        joined = paged.withColumn("out", F.array().cast("array<struct<block_id:bigint,i:int>>"))
+    else:
+        out = found.groupBy("doc", "page").agg(F.collect_set(F.struct("block_id", "i")).alias("out"))  # at most the lines of a page
+        joined = paged.alias("p").join(out.alias("o"), F.expr("p.doc <=> o.doc and p.page = o.page"), "left").select("p.*", "out")
 
     def run(batches):
-        for b in batches:
-            n: Counter = Counter()
-            for blocks in b.column(0).to_pylist():
-                for x in blocks:
-                    n.update(each(x["lines"]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                blocks, out = b.column(2), b.column(3)
+                flat = blocks.flatten()
+                ids, labels, texts = (flat.field(k).to_pylist() for k in ("block_id", "label", "text"))
+                gone = {}
+                for g, x in enumerate(out.to_pylist()):
+                    gone[g] = {(y["block_id"], y["i"]) for y in x or ()}
+                sizes = np.diff(blocks.offsets.to_numpy()).tolist()
+                n_blocks, n_tokens, n_inner, n_pairs = [], [], [], []
+                kept_id, kept_label, kept_lines = [], [], []
+                token_id, words, counts, inner, inner_n, pairs = [], [], [], [], [], []
+                k = 0
+                for page, size in enumerate(sizes):
+                    out_of, first, lines_of, mine = gone[page], len(kept_id), [], Counter()
+                    before = len(words), len(pairs)
+                    for j in range(k, k + size):
+                        lines = texts[j].split("\n")
+                        found_words = tokens_in(lines)
+                        token_id += [ids[j]] * len(found_words)
+                        words += found_words.keys()
+                        counts += found_words.values()
+                        left = [t for i, t in enumerate(lines) if t.strip() and (ids[j], i) not in out_of]
+                        if left:
+                            kept_id.append(ids[j])
+                            kept_label.append(labels[j])
+                            kept_lines.append(left)
+                            mine.update(inner_words(left))
+                            lines_of += [(ids[j], i, t) for i, t in enumerate(left)]
+                    for (block, i, one), (following, _, two) in pairwise(lines_of):
+                        if (t := tail_of(one)) and (h := head_of(two)[0]):
+                            pairs.append((block, i, *t, h, following))
+                    k += size
+                    n_blocks.append(len(kept_id) - first)
+                    n_tokens.append(len(words) - before[0])
+                    n_pairs.append(len(pairs) - before[1])
+                    n_inner.append(len(mine))
+                    inner += mine.keys()
+                    inner_n += mine.values()
+                cols = list(zip(*pairs)) or [()] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0),
+                        b.column(1),
+                        ragged(n_blocks, block_id=pa.array(kept_id, pa.int64()), label=pa.array(kept_label, pa.string()), lines=pa.array(kept_lines, pa.list_(pa.string()))),
+                        ragged(n_tokens, block_id=pa.array(token_id, pa.int64()), word=pa.array(words, pa.string()), n=pa.array(counts, pa.int64())),
+                        ragged(n_inner, word=pa.array(inner, pa.string()), n=pa.array(inner_n, pa.int64())),
+                        ragged(n_pairs, **{k: pa.array(c, t) for k, c, t in zip(PAIR, cols, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()))}),
+                    ],
+                    names=["doc", "page", "blocks", "tokens", "inner", "pairs"],
+                )
+
+    schema = "doc string, page long, blocks array<struct<block_id:long,label:string,lines:array<string>>>, tokens array<struct<block_id:long,word:string,n:long>>, inner array<struct<word:string,n:long>>, "
+    return joined.select("doc", "page", "blocks", "out").mapInArrow(run, schema + "pairs array<struct<block_id:long,i:int,a:string,mark:string,b:string,next_id:long>>")
+
+
+PAIR = ("block_id", "i", "a", "mark", "b", "next_id")
 
-    return written(df.select("blocks").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), name)
+
+# ---------------------------------------------------------------- words and joins
 
 
 def inner_words(lines: list[str]) -> list[str]:
@@ -245,18 +300,6 @@ def turns(body: DataFrame) -> DataFrame:
 def line_pairs(body: DataFrame, turned: DataFrame) -> DataFrame:
     """(block_id, i, a, mark, b, next_id): lines that end in a hyphen, with the first word of what follows on the page or the next, and its block."""
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for blocks in b.column(0).to_pylist():
-                flat = [(x["block_id"], i, t) for x in blocks for i, t in enumerate(x["lines"])]
-                for (block, i, one), (following, _, two) in pairwise(flat):
-                    if (t := tail_of(one)) and (h := head_of(two)[0]):
-                        out.append((block, i, *t, h, following))
-            cols = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["block_id", "i", "a", "mark", "b", "next_id"])
-
     def over(batches):
         for b in batches:
             out = []
@@ -265,10 +308,10 @@ def line_pairs(body: DataFrame, turned: DataFrame) -> DataFrame:
                     out.append((block, size - 1, *t, h, following))
             cols = list(zip(*out)) or [()] * 6
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["block_id", "i", "a", "mark", "b", "next_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=list(PAIR))
 
-    schema = "block_id long, i int, a string, mark string, b string, next_id long"
-    return body.select("blocks").mapInArrow(run, schema).unionByName(turned.select("last_id", "last_size", "last_line", "next_id", "next_line").mapInArrow(over, schema))
+    inside = body.select(F.explode("pairs").alias("x")).select("x.*")
+    return inside.unionByName(turned.select("last_id", "last_size", "last_line", "next_id", "next_line").mapInArrow(over, inside.schema))
 
 
 def pair_features(a: str, b: str, mark: str, joined: float, compound: float, first: float, second: float, folded: float) -> list[float]:
@@ -279,7 +322,7 @@ def pair_features(a: str, b: str, mark: str, joined: float, compound: float, fir
 
 def broken_examples(words: DataFrame, total: int) -> tuple[list[list[float]], list[float]]:
     """Features and target (1 broken, 0 compound) of common words and compounds, broken; how often their halves occur is looked up among all words, as in scoring."""
-    sample = words.where(F.col("n") >= max(3, COMMON * total)).where("length(word) >= 4").orderBy(F.xxhash64("word")).limit(SAMPLE // 4).collect()  # at most SAMPLE / 4 rows
+    sample = hash_sample(words.where(F.col("n") >= COMMON * total).where("length(word) between 4 and 40"), ["word"], SAMPLE // 4).orderBy("word").collect()  # about SAMPLE / 4 rows
     rng, cuts = np.random.default_rng(2), []
     for r in sample:
         if "-" in r.word:
@@ -305,7 +348,7 @@ def broken_words(pairs: DataFrame, words: DataFrame) -> DataFrame:
     kinds = pairs.groupBy("a", "mark", "b").agg(F.count(F.lit(1)).alias("n"))
     asked = F.array(*(F.struct(F.lit(k).alias("slot"), F.concat(*c).alias("word")) for k, c in ((0, ["a", "b"]), (1, ["a", F.lit("-"), "b"]), (2, ["a"]), (3, ["b"]))))
     found = kinds.select("a", "mark", "b", F.explode(asked).alias("q")).select("a", "mark", "b", "q.slot", "q.word").join(words, "word", "left")
-    folded_words = with_skeleton(words.where("n >= 2")).groupBy("sk").agg(F.max("n").alias("sn"))
+    folded_words = with_skeleton(words).groupBy("sk").agg(F.max("n").alias("sn"))
     folded = with_skeleton(kinds.select("a", "mark", "b", F.concat("a", "b").alias("word"))).join(folded_words, "sk", "left").select("a", "mark", "b", F.coalesce("sn", F.lit(0)).alias("n4"))
     wide = found.groupBy("a", "mark", "b").agg(*(F.coalesce(F.max(F.when(F.col("slot") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(4))).join(folded, ["a", "mark", "b"])
     x, y = broken_examples(words, total)
@@ -365,15 +408,18 @@ def going_on(body: DataFrame, turned: DataFrame) -> DataFrame:
                         if not _stop.search(lines[i].rstrip()):
                             x.append(turn_features(lines[i], i + 1 + (i == 0 and len(lines) > 2), lines[i + 1]))
                             y.append(1)
-                            keys.append(block["block_id"] * 64 + min(i, 62))
+                            keys.append((block["block_id"], i))
                     if k + 1 < len(blocks):
                         x.append(turn_features(lines[-1], len(lines), blocks[k + 1]["lines"][0]))
                         y.append(0)
-                        keys.append(block["block_id"] * 64 + 63)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["k", "x", "y"])
-
-    some = body.where(F.pmod(F.xxhash64("doc", "page"), F.lit(1 << 30)) >= 0).orderBy(F.xxhash64("doc", "page")).limit(SAMPLE // 10).select("blocks")
-    got = some.mapInArrow(examples, "k long, x array<double>, y int").orderBy(F.xxhash64("k")).limit(SAMPLE).toArrow()  # at most SAMPLE rows
+                        keys.append((block["block_id"], -1))
+            ids, at = list(zip(*keys)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["id", "at", "x", "y"])
+
+    some = hash_sample(body.select("doc", "page", "blocks"), ["doc", "page"], SAMPLE // 10).select("blocks")
+    pairs = written(some.mapInArrow(examples, "id long, at int, x array<double>, y int"), "examples")
+    got = hash_sample(pairs, ["id", "at"], SAMPLE).orderBy("id", "at").toArrow()  # about SAMPLE rows
+    dropped(pairs)
     model = Boosted(np.array(got["x"].to_pylist(), np.float64).reshape(got.num_rows, -1), got["y"].to_numpy().astype(float)) if got.num_rows else None
     sent = body.sparkSession.sparkContext.broadcast(model)
 
@@ -396,34 +442,28 @@ def tokens_of(text: str) -> dict[str, int]:
     return {t: n for t, n in Counter(_token.findall(text.lower())).items() if t.isalpha() or any(c.isalpha() or c in "@|†" for c in t)}
 
 
-def block_tokens(paged: DataFrame) -> DataFrame:
-    """(block_id, word, n): the words of each block, furniture included. What a hyphen parts at a line's end is one word; the half at a block's end is no word (parted_tokens).
+def tokens_in(lines: list[str]) -> dict[str, int]:
+    """tokens_of a block's lines. What a hyphen parts at a line's end is one word; the half at the block's end is no word (parted_tokens).
 
     A compound parted there becomes a word that is like no other and isn't corrected; halves with signs that letters are read as count by themselves too.
     """
+    lines = [t for t in lines if t.strip()]
+    halves = ""
+    for i in range(len(lines)):
+        if t := tail_of(lines[i]):
+            lines[i] = lines[i].rstrip()[:-1] + "\x00"
+            if i + 1 < len(lines):
+                halves += " ".join(h for h in (t[0], head_of(lines[i + 1])[0]) if not h.isalpha()) + " "
+    joined = "\n".join(lines).replace("\x00\n", "")
+    if joined.endswith("\x00"):
+        joined = " ".join(joined.split()[:-1])
+    return tokens_of(f"{joined} {halves}")
 
-    def run(batches):
-        for b in batches:
-            ids, words, counts = [], [], []
-            for blocks in b.column(0).to_pylist():
-                for x in blocks:
-                    lines = [t for t in x["text"].split("\n") if t.strip()]
-                    halves = ""
-                    for i in range(len(lines)):
-                        if t := tail_of(lines[i]):
-                            lines[i] = lines[i].rstrip()[:-1] + "\x00"
-                            if i + 1 < len(lines):
-                                halves += " ".join(h for h in (t[0], head_of(lines[i + 1])[0]) if not h.isalpha()) + " "
-                    joined = "\n".join(lines).replace("\x00\n", "")
-                    if joined.endswith("\x00"):
-                        joined = " ".join(joined.split()[:-1])
-                    found = tokens_of(f"{joined} {halves}")
-                    ids += [x["block_id"]] * len(found)
-                    words += found.keys()
-                    counts += found.values()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["block_id", "word", "n"])
-
-    return paged.select("blocks").mapInArrow(run, "block_id long, word string, n long")
+
+def block_tokens(paged: DataFrame) -> DataFrame:
+    """(block_id, word, n): the words of each block, furniture included, as tokens_in tells them."""
+    body = paged if "tokens" in paged.columns else parts(paged)
+    return body.select(F.explode("tokens").alias("x")).select("x.*")
 
 
 def parted_tokens(pairs: DataFrame) -> DataFrame:
@@ -462,12 +502,12 @@ def misreadings(true: str, read: str, most: float = 3.5) -> tuple[int, float]:
     for i in range(n + 1):
         row, below = rows[i], rows[i + 1] if i < n else None
         rules = _RULES.get(true[i], ()) if i < n else ()
-        j = 0
-        while j <= m:
+        j, end = min(row, default=1), max(row, default=0)
+        while j <= end:
             if j in row:
                 c, k = row[j]
                 if j < m and c + 1 <= most and (j + 1 not in row or c + 1 < row[j + 1][0]):
-                    row[j + 1] = (c + 1, k)
+                    row[j + 1], end = (c + 1, k), max(end, j + 1)
                 if i < n:
                     if j < m:
                         step = c if true[i] == read[j] else c + 1
@@ -494,6 +534,52 @@ def rank_features(read: str, true: str, read_share: float, true_share: float) ->
     return [float(k), other, other / size, float(np.log10(true_share + 1e-9) - np.log10(read_share + 1e-9)), float(odd), float(size), float(len(read) - size), float(read[:1] == true[:1]), float(read[-1:] == true[-1:]), float(read[:1].isdigit()), float(read.startswith(true) or true.startswith(read))]
 
 
+def gram_order(words: DataFrame) -> dict[str, int]:
+    """How common q-grams are, by a sample of the words: an order for prefixes, which may be any."""
+    sample = hash_sample(words.where("length(word) <= 40"), ["word"], SAMPLE).select("word").collect()  # about SAMPLE rows
+    return dict(Counter(g for r in sample for g in grams(r.word)))
+
+
+def candidates(words: DataFrame) -> DataFrame:
+    """(word, n, meant, tn): pairs whose skeletons lack at most LOST of each other's q-grams, and share one; `meant` stands more than TIMES as often as `word`.
+
+    A form of letters only that stands more often than meant / OWN, by more than one and a half standard deviations of its count, is a word of its own.
+    Two sets of m grams at the most that differ so share one of the first LOST + 1 of both, in any order; so only these are joined, the rarest first.
+    """
+    sent = words.sparkSession.sparkContext.broadcast(gram_order(words))
+
+    def run(batches):
+        order = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5000):
+                b = batch.slice(at, 5000)
+                out = []
+                for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    gs = grams(w)
+                    out += [(w, n, g, len(gs)) for g in sorted(gs, key=lambda g: (order.get(g, 0), g))[: LOST + 1]]
+                cols = list(zip(*out)) or [()] * 4
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["word", "n", "g", "m"])
+
+    index = written(words.select("word", "n").mapInArrow(run, "word string, n long, g string, m int"), "grams")
+    true = index.where((F.col("n") > TIMES) & F.col("word").rlike("^[a-z]+$")).select("g", F.col("word").alias("meant"), F.col("n").alias("tn"), F.col("m").alias("tm"))
+    own = f"(word rlike '[^a-z]' or n - 1.5 * sqrt(n) <= tn / {OWN})"
+    near = index.join(true, "g").where(f"word <> meant and tn > {TIMES} * n and {own} and abs(m - tm) <= {LOST}")
+    near = near.select("word", "n", "meant", "tn").distinct()
+
+    def enough(batches):
+        memo = Memo(lambda w: frozenset(grams(w)))
+        for b in batches:
+            keep = []
+            for w, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                one, two = memo[w], memo[t]
+                both = len(one & two)
+                keep.append(both >= max(len(one), len(two)) - LOST)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return near.mapInArrow(enough, near.schema)
+
+
 def replacements(words: DataFrame) -> DataFrame:
     """(word, meant): words that are misread, with what they should be. words: (word, n).
 
@@ -501,21 +587,9 @@ def replacements(words: DataFrame) -> DataFrame:
     """
     spark = words.sparkSession
     total = words.agg(F.sum("n")).first()[0] or 1
-    least = max(3, COMMON * total)
-
-    def run(batches):
-        for b in batches:
-            out = [(w, n, g, len(gs)) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for gs in (grams(w),) for g in gs]
-            cols = list(zip(*out)) or [()] * 4
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["word", "n", "g", "m"])
-
-    index = words.where("length(word) <= 40").mapInArrow(run, "word string, n long, g string, m int")
-    true = index.where((F.col("n") > TIMES) & F.col("word").rlike("^[a-z]+$")).select("g", F.col("word").alias("meant"), F.col("n").alias("tn"), F.col("m").alias("tm"))
-    # a form of letters only that is not so rare beside the common word is a word of its own
-    near = index.join(true, "g").where(f"word <> meant and tn > {TIMES} * n and (tn > 25 * (n - 2) or word rlike '[^a-z]') and abs(m - tm) <= 4 + m / 2").groupBy("word", "meant").agg(F.count(F.lit(1)).alias("hit"), F.first("n").alias("n"), F.first("tn").alias("tn"), F.first("m").alias("m"), F.first("tm").alias("tm"))
-    near = near.where("hit >= 0.25 * least(m, tm)")
-    sample = words.where(F.col("n") >= least).where("word rlike '^[a-z]+$'").orderBy(F.xxhash64("word")).limit(SAMPLE // 10).collect()  # at most SAMPLE / 10 rows
+    near = candidates(words)
+    common = words.where(F.col("n") >= COMMON * total).where("word rlike '^[a-z]{1,40}$'")  # what is fitted on; all words are scored
+    sample = hash_sample(common, ["word"], SAMPLE // 10).orderBy("word").collect()  # about SAMPLE / 10 rows
     known = {r.word: r.n / total for r in sample}
     rng, x, y = np.random.default_rng(4), [], []
     by: dict[str, list[str]] = {}
@@ -524,8 +598,8 @@ def replacements(words: DataFrame) -> DataFrame:
             by.setdefault(g, []).append(w)
     for w, share in known.items():
         rare = share * 10 ** -rng.uniform(np.log10(TIMES), 3.5)
-        others = [v for g in grams(w) for v in by[g][:40] if v != w]
-        rules = [(t, r) for t, r in MISREAD[:20] if t in w]
+        others = [v for g in grams(w) for v in by[g] if v != w]
+        rules = [(t, r) for t, r in MISREAD if t in w]
         for t, r in rules:
             read = w.replace(t, r, 1) if rng.random() < 0.4 else w.replace(t, r)
             x.append(rank_features(read, w, rare, share))
@@ -569,31 +643,32 @@ def replacements(words: DataFrame) -> DataFrame:
 
 
 def repaired(blocks: DataFrame) -> dict[str, DataFrame]:
-    """The parts of the repair: paged, furniture, body, hyphens (block_id, i, a, mark, b), splits (last_id, next_id), misread (word, meant), tokens (block_id, word, n)."""
+    """The parts of the repair: furniture, body, hyphens (block_id, i, a, mark, b), splits (last_id, next_id), fixes (block_id, word, meant)."""
     paged = written(pages(blocks), "pages")
     found = written(furniture(paged), "furniture")
-    body = written(bodies(paged, found), "body")
-    words = counted(body, inner_words, "inner")
+    body = written(parts(paged, found), "body")
+    words = written(body.select(F.explode("inner").alias("x")).groupBy("x.word").agg(F.sum("x.n").alias("n")), "inner")
     turned = written(turns(body), "turns")
     pairs = written(line_pairs(body, turned), "pairs")
     one = written(broken_words(pairs, words), "broken")
     n = pairs.groupBy("a", "mark", "b").agg(F.count(F.lit(1)).alias("n"))
     hyphens = written(heavy_lookup(pairs, one.join(n, ["a", "mark", "b"]), ["a", "mark", "b"], "n", pairs.count()), "hyphens")
     splits = written(going_on(body, turned), "splits")
-    tokens = written(block_tokens(paged).unionByName(parted_tokens(pairs)), "tokens")
+    tokens = block_tokens(body).unionByName(written(parted_tokens(pairs), "parted"))
     vocabulary = written(tokens.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
-    misread = written(replacements(vocabulary), "misread")
-    return {"paged": paged, "furniture": found, "body": body, "hyphens": hyphens, "splits": splits, "misread": misread, "tokens": tokens, "vocabulary": vocabulary}
+    misread = written(replacements(vocabulary).join(vocabulary, "word"), "misread")
+    dropped(paged, words, turned, pairs, one)
+    total = vocabulary.agg(F.sum("n")).first()[0] or 1
+    fixes = heavy_lookup(tokens.select("block_id", "word"), misread, ["word"], "n", total)
+    return {"furniture": found, "body": body, "hyphens": hyphens, "splits": splits, "fixes": fixes}
 
 
 def defects(blocks: DataFrame) -> DataFrame:
     """(block_id, defect): 'furniture', 'char', 'hyphen', 'split'. Null and empty texts have none; an empty table gives none."""
     r = repaired(blocks)
-    n = r["tokens"].groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    char = heavy_lookup(r["tokens"].select("block_id", "word"), r["misread"].join(n, "word"), ["word"], "n", max(1, r["tokens"].count()))
-    parts = [(r["furniture"], "block_id", "furniture"), (char, "block_id", "char"), (r["hyphens"], "block_id", "hyphen"), (r["splits"], "last_id", "split")]
+    kinds = [(r["furniture"], "block_id", "furniture"), (r["fixes"], "block_id", "char"), (r["hyphens"], "block_id", "hyphen"), (r["splits"], "last_id", "split")]
     out = None
-    for df, key, name in parts:
+    for df, key, name in kinds:
         one = df.select(F.col(key).alias("block_id"), F.lit(name).alias("defect"))
         out = one if out is None else out.unionByName(one)
     return out.distinct()
@@ -608,8 +683,7 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     r = repaired(blocks)
     flat = r["body"].select("doc", "page", F.posexplode("blocks").alias("place", "b")).select("doc", "page", "place", "b.block_id", "b.lines")
     ends = r["hyphens"].groupBy("block_id").agg(F.collect_set("i").alias("ends"))
-    fixes = heavy_lookup(r["tokens"].select("block_id", "word"), r["misread"].join(r["tokens"].groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word"), ["word"], "n", max(1, r["tokens"].count()))
-    fixes = fixes.groupBy("block_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "meant"))).alias("fixes"))
+    fixes = r["fixes"].groupBy("block_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "meant"))).alias("fixes"))
     rows = flat.join(ends, "block_id", "left").join(fixes, "block_id", "left").select("doc", "page", "place", "block_id", "lines", "ends", "fixes")
 
     def run(batches):
