@@ -2,10 +2,12 @@
 
 Method. Circulant MinHash: one permutation of the hashed shingles' positions, and one of hash values of which the k-th coordinate
 reads the copy shifted by k, give all coordinates of a signature; a shingle contributes one contiguous slice of the second
-permutation. Bands of `ROWS` coordinates find candidates (a link at similarity 0.5 is missed with probability (1 - 0.5^4)^80 =
-0.6 %, at 0.6 with 0.002 %), 256 one-bit coordinates remove those far from the threshold (5 standard
-deviations below it), and the rest are verified exactly on the texts. Items with the same set of shingles form one class; only one of
-a class is banded per task, and classes are expanded into pairs of items at the end.
+permutation. Bands of coordinates find candidates, 256 one-bit coordinates remove those far from the threshold (5 standard deviations below
+it), and the rest are verified exactly on the texts. How many bands of how many coordinates there are follows from the threshold and the
+chance to miss a link (`shape`): for 0.5, 80 bands of 4, by which a link at 0.5 is missed with a chance of 0.6 %, at 0.6 of 0.002 %.
+
+Items with the same set of shingles form one class. A class is banded once, however many items it has and tasks meet it: bands are made distinct
+after the shuffle that joins them. Links are between classes; only near_pairs expands them into pairs of items.
 
 Bands are joined with themselves by sort-merge join, whose skewed keys adaptive execution splits; no bucket is gathered.
 """
@@ -20,9 +22,19 @@ from pyspark.sql import functions as F
 from folioforge.operators.graph import components
 from folioforge.session import written
 
-BANDS, ROWS, BITS, PLACES = 80, 4, 256, 1 << 20
-LEAST = 0.5  # the similarity that bands and bits are made for; below it they would lose pairs
-LEAST_BITS = 158  # of 256: at similarity 0.5 the mean is 192, the standard deviation 6.9
+BITS, PLACES = 256, 1 << 20
+MISSED = 0.006  # the chance that the bands miss a link at the threshold
+
+
+def shape(least: float, missed: float = MISSED) -> tuple[int, int, int]:
+    """(bands, rows, bits): how many bands of how many coordinates find similarities from `least` on but for `missed` of those at `least`, and how many of the bits agree at least."""
+    if not 0 < least <= 1:
+        raise ValueError(f"no similarity between 0 and 1: {least}")
+    rows = 16 if least > 0.84 else max(1, round(np.log(1 / 16) / np.log(least)))
+    bands = int(np.ceil(np.log(missed) / np.log(1 - least**rows))) if least < 1 else 1
+    agree = (1 + least) / 2  # the chance of a bit to agree
+    return bands, rows, int(BITS * agree - 5 * np.sqrt(BITS * agree * (1 - agree)))
+
 
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _lower = np.arange(256, dtype=np.uint8)
@@ -119,7 +131,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 class Circulant:
     """Signatures of sets of shingles."""
 
-    def __init__(self, coordinates: int = BANDS * ROWS, seed: int = 11):
+    def __init__(self, coordinates: int = 320, seed: int = 11):
         pi = np.random.default_rng(seed).permutation(PLACES).astype(np.uint32)
         self.rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:coordinates]]), coordinates)
         self.first = np.uint64(0x2545F4914F6CDD1D)  # the first permutation, of the hashed universe, is a mix of the bits
@@ -132,11 +144,11 @@ class Circulant:
         return out
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
+def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """Of each signature, one 64-bit key for each band, which differs between bands."""
-    parts = signatures.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
+    parts = signatures[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(rows):
         key = mixed((key ^ parts[:, :, k]) * _odd[k % 3])
     return key.view(np.int64)
 
@@ -154,11 +166,12 @@ def _class(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def sketched(rows: DataFrame) -> DataFrame:
-    """(id, cls, cls2, n, b0..b3) of rows (id, text) that have a shingle."""
+def sketched(rows: DataFrame, least: float) -> DataFrame:
+    """(id, cls, cls2, n, b0..b3, keys) of rows (id, text) that have a shingle; keys, one for each band, only where a task meets a class first."""
+    bands, per, _ = shape(least)
 
     def run(batches):
-        make = Circulant(BITS)
+        make, seen = Circulant(max(BITS, bands * per)), set()
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
@@ -166,45 +179,30 @@ def sketched(rows: DataFrame) -> DataFrame:
                 at = [k for k, s in enumerate(sets) if len(s)]
                 if at:
                     classes = np.array([_class(sets[k]) for k in at], np.int64)
-                    four = bits(np.stack([make.signature(sets[k]) for k in at]))
-                    n = np.array([len(sets[k]) for k in at], np.int64)
-                    numbers = [classes[:, 0], classes[:, 1], n, *four.T]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *(pa.array(np.ascontiguousarray(c)) for c in numbers)], names=["id", "cls", "cls2", "n", "b0", "b1", "b2", "b3"])
-
-    return rows.mapInArrow(run, "id string, cls long, cls2 long, n long, b0 long, b1 long, b2 long, b3 long")
-
-
-def banded(rows: DataFrame) -> DataFrame:
-    """(key, cls) for each band of each class; a class comes once from each task."""
-
-    def run(batches):
-        make, seen = Circulant(), set()
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for i in range(0, len(texts), 500):
-                fresh, classes = [], []
-                for s in shingle_batch(texts[i : i + 500]):
-                    if len(s) and (c := _class(s)[0]) not in seen:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
+                    signatures = np.stack([make.signature(sets[k]) for k in at])
+                    if len(seen) > 1_000_000:  # a class met again is banded again, and made distinct later
+                        seen.clear()
+                    fresh = []
+                    for c in classes[:, 0].tolist():
+                        fresh.append(c not in seen)
                         seen.add(c)
-                        fresh.append(make.signature(s))
-                        classes.append(c)
-                if fresh:
-                    keys = band_keys(np.stack(fresh)).reshape(-1)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array(classes, np.int64), BANDS))], names=["key", "cls"])
+                    keys = band_keys(signatures[fresh], bands, per).reshape(-1)
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(bands * f for f in fresh)]), pa.int32()), pa.array(keys))
+                    n = np.array([len(sets[k]) for k in at], np.int64)
+                    numbers = [classes[:, 0], classes[:, 1], n, *bits(signatures).T]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *(pa.array(np.ascontiguousarray(c)) for c in numbers), lists], names=["id", "cls", "cls2", "n", "b0", "b1", "b2", "b3", "keys"])
 
-    return rows.select("text").mapInArrow(run, "key long, cls long")
+    return rows.mapInArrow(run, "id string, cls long, cls2 long, n long, b0 long, b1 long, b2 long, b3 long, keys array<long>")
 
 
 def class_links(rows: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity): pairs of classes, a < b, whose similarity is at least `least`, verified on the texts. rows: (id, text)."""
-    bands = banded(rows)
+    bands = sketches.select(F.explode("keys").alias("key"), "cls").repartition("key").distinct()  # by the partitioning that the join needs
     near = bands.alias("x").join(bands.alias("y"), F.expr("x.key = y.key and x.cls < y.cls")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     one = sketches.groupBy("cls").agg(F.min_by(F.struct("id", "n", "b0", "b1", "b2", "b3"), "id").alias("s"))
     x, y = one.select(F.col("cls").alias("a"), F.col("s").alias("x")), one.select(F.col("cls").alias("b"), F.col("s").alias("y"))
     agree = sum((F.bit_count(F.expr(f"~(x.b{k} ^ y.b{k})")) for k in range(4)), F.lit(0))
-    likely = near.join(x, "a").join(y, "b").where(F.expr(f"least(x.n, y.n) >= {least} * greatest(x.n, y.n)")).where(agree >= LEAST_BITS)
+    likely = near.join(x, "a").join(y, "b").where(F.expr(f"least(x.n, y.n) >= {least} * greatest(x.n, y.n)")).where(agree >= shape(least)[2])
     likely = written(likely.select("a", "b", F.col("x.id").alias("ida"), F.col("y.id").alias("idb")), "likely")
 
     def run(batches):
@@ -229,26 +227,28 @@ def class_links(rows: DataFrame, sketches: DataFrame, least: float) -> DataFrame
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def checked(least: float) -> float:
-    """`least`, if the bands and bits find pairs from it on."""
-    if not least >= LEAST:
-        raise ValueError(f"similarities below {LEAST} can't be found with {BANDS} bands of {ROWS} and {LEAST_BITS} bits: {least}")
-    return least
-
-
 def named(items: DataFrame, key: str, text: str) -> DataFrame:
     return items.select(items[key].cast("string").alias("id"), items[text].cast("string").alias("text")).where("id is not null and text is not null")
 
 
+def near_classes(items: DataFrame, key: str = "item_id", text: str = "text", least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (id, cls), the class of each id by its set of shingles; links (a, b, similarity) between different classes, a < b.
+
+    Copies aren't expanded into pairs, so both tables grow with the items and with the links between different texts alone.
+    """
+    rows = named(items, key, text)
+    sketches = written(sketched(rows, least), "sketches")
+    return sketches.select("id", "cls").distinct(), written(class_links(rows, sketches, least), "links")
+
+
 def near_pairs(items: DataFrame, key: str = "item_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """(item_a, item_b), item_a < item_b: all pairs of different ids with similarity of at least `least`.
 
     Null ids and texts, and texts of fewer than three words, have no pair. Repeated rows count once; if rows of one id differ, each text counts.
-    `least` below LEAST is an error.
+   
     """
-    least = checked(least)
     rows = named(items, key, text)
-    sketches = written(sketched(rows), "sketches")
+    sketches = written(sketched(rows, least), "sketches")
     links = written(class_links(rows, sketches, least), "links")
     members = sketches.select("id", "cls", "cls2").distinct()
     x, y = members.select(F.col("id").alias("i"), F.col("cls").alias("a"), F.col("cls2").alias("a2")), members.select(F.col("id").alias("j"), F.col("cls").alias("b"), F.col("cls2").alias("b2"))
@@ -259,11 +259,10 @@ def near_pairs(items: DataFrame, key: str = "item_id", text: str = "text", least
 
 def near_groups(items: DataFrame, key: str = "item_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """(item_id, group, links): each item's group - the smallest item of those it is linked with, directly or through others - and how many other classes
-    it is linked with. Items without text or of fewer than three words are groups of their own. Null ids are left out. `least` below LEAST is an error.
+    it is linked with. Items without text or of fewer than three words are groups of their own. Null ids are left out.
     """
-    least = checked(least)
     rows = named(items, key, text)
-    sketches = written(sketched(rows), "sketches")
+    sketches = written(sketched(rows, least), "sketches")
     links = written(class_links(rows, sketches, least), "links")
     n = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
     joined = sketches.select("id", "cls").distinct().join(components(links).withColumnRenamed("node", "cls"), "cls", "left").join(n, "cls", "left")
@@ -284,11 +283,19 @@ def p4_groups(spark, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/items.parquet"))
 
 
-SQL = {
-    "p4_found": """
-WITH w AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[a-z0-9]+|[\\x{4e00}-\\x{9fff}]') AS w FROM items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+_SHINGLES = """w AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[a-z0-9]+|[\\x{4e00}-\\x{9fff}]') AS w FROM items WHERE item_id IS NOT NULL AND text IS NOT NULL),
 s AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS s FROM w WHERE len(w) >= 3),
 n AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1),
-c AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS both FROM s a JOIN s b USING (s) WHERE a.item_id < b.item_id GROUP BY 1, 2)
-SELECT a AS item_a, b AS item_b FROM c JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE c.both >= 0.5 * (x.n + y.n - c.both)""",
+c AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS both FROM s a JOIN s b USING (s) WHERE a.item_id < b.item_id GROUP BY 1, 2),
+p AS (SELECT c.a, c.b, c.both = x.n AND c.both = y.n AS same FROM c JOIN n x ON x.item_id = c.a JOIN n y ON y.item_id = c.b WHERE c.both >= 0.5 * (x.n + y.n - c.both))"""
+
+SQL = {
+    "p4_found": f"WITH {_SHINGLES} SELECT a AS item_a, b AS item_b FROM p",
+    "p4_groups": f"""WITH RECURSIVE {_SHINGLES},
+e AS (SELECT a AS u, b AS v, same FROM p UNION ALL SELECT b, a, same FROM p),
+r AS (SELECT DISTINCT item_id AS u, item_id AS m FROM items WHERE item_id IS NOT NULL UNION SELECT e.v, r.m FROM r JOIN e ON e.u = r.u WHERE r.m < e.v),
+g AS (SELECT u AS item_id, min(m) AS "group" FROM r GROUP BY 1),
+k AS (SELECT x.u AS item_id, min(y) AS cls FROM (SELECT item_id AS u, item_id AS y FROM n UNION ALL SELECT u, v FROM e WHERE same) x GROUP BY 1),
+l AS (SELECT e.u AS item_id, count(DISTINCT k.cls) AS links FROM e JOIN k ON k.item_id = e.v WHERE NOT e.same GROUP BY 1)
+SELECT g.item_id, g."group", coalesce(l.links, 0) AS links FROM g LEFT JOIN l USING (item_id)""",
 }
