@@ -11,7 +11,7 @@ MODULES = {
     "p3_format_dups": ["p3_found", "p3_entries"],
     "p4_near_dups": ["p4_found", "p4_groups"],
     "p5_token_budget": ["p5_tokens", "p5_token_budget"],
-    "p6_lookalike": ["p6_found", "p6_text"],
+    "p6_lookalike": ["p6_found", "p6_text", "p6_left"],
     "p7_encode": ["p7_ids"],
     "p8_packing": ["p8_containers", "p8_fill"],
     "p9_truncation": ["p9_found", "p9_sources"],

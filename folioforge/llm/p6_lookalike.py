@@ -4,7 +4,8 @@ Method. Look-alikes are pairs of strings: full-width letters and digits with the
 the composed letter, invisible characters with nothing, spaces with U+0020 (all by rule) and Greek and Cyrillic letters
 with the Latin ones they look like (a fixed table). Union-find over these strings and code points gives transitive classes;
 of each the representative is a shortest member, among these the one most frequent in the whole corpus (see rewrites). A
-multi-pattern automaton rewrites the other members greedily, leftmost and longest first, until nothing changes. Greek and Cyrillic
+multi-pattern automaton finds all members that may be a case, greedily, leftmost and longest first, and rewrites them until nothing changes;
+what it matched tells which cases a text held. An accent that composes with no letter before it has no other form than the letter alone. Greek and Cyrillic
 letters are rewritten only in words where one stands next to a Latin letter: elsewhere they belong there, as
 do full-width punctuation, composed accents, circled and Roman numerals, for which there is no pair.
 """
@@ -109,57 +110,87 @@ class Rewriter:
         import ahocorasick
         import regex
 
+        accent, foreign = re.compile(f"[{ACCENTS}]"), regex.compile(FOREIGN)
+        known = {s for pair in look_alikes() for s in pair if s}
+        scripts = [c for c in map(chr, (*range(0x370, 0x530), *range(0x1C80, 0x1C90), *range(0x1F00, 0x2000), 0x2126, *range(0x2DE0, 0x2E00), *range(0xA640, 0xA6A0))) if foreign.match(c)]
+        single = [c for a, b in ((0x300, 0x370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE20, 0xFE30)) for c in map(chr, range(a, b)) if accent.match(c)]
+        self.table = table
+        self.foreign = {s: unicodedata.normalize("NFC", s) for s in known if len(s) == 2 and foreign.match(s[0])}
+        self.composes = {s: table.get(s, s) for s in known if len(s) == 2} | self.foreign
         self.automaton = ahocorasick.Automaton()
-        for s, to in table.items():
-            if s:
-                self.automaton.add_word(s, (s, to))
+        for s in {*known, *table, *scripts, *single}:
+            if len(s) == 2:
+                kind = "accent"
+            elif s in INVISIBLE:
+                kind = "invisible"
+            elif s in SPACES:
+                kind = "space"
+            elif s in WIDE:
+                kind = "wide"
+            elif foreign.match(s):
+                kind = "mixed"
+            else:
+                kind = "stray" if accent.match(s) else ""
+            if kind or table.get(s, s) != s:
+                self.automaton.add_word(s, (s, table.get(s, s), kind))
         self.automaton.make_automaton()
         self.words = regex.compile(rf"[\p{{L}}\p{{M}}{INVISIBLE}]+")
         self.mixed = regex.compile(rf"{FOREIGN}{BETWEEN}{LATIN}|{LATIN}{BETWEEN}{FOREIGN}")
-        self.cases = [("wide", re.compile(f"[{WIDE}]")), ("invisible", re.compile(f"[{INVISIBLE}]")), ("space", re.compile(f"[{SPACES}]"))]
-        self.accent = regex.compile(rf"\p{{L}}[{INVISIBLE}]*[{ACCENTS}]")
-        self.foreign = regex.compile(FOREIGN)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Words in which a Greek or Cyrillic letter stands next to a Latin one."""
         return [m.span() for m in self.words.finditer(text) if self.mixed.search(m[0])] if self.mixed.search(text) else []
 
     def once(self, text: str) -> tuple[str, set[str]]:
-        spans, kinds, out, at = self.spans(text), set(), [], 0
-        if spans:
-            kinds.add("mixed")
-        inside = iter(spans)
-        span = next(inside, None)
-        for end, (s, to) in self.automaton.iter_long(text):
+        """One sweep: the text with matched members rewritten, and the kinds of those that are a case where they stand."""
+        spans, kinds, out, at = iter(self.spans(text)), set(), [], 0
+        span = next(spans, None)
+        for end, (s, to, kind) in self.automaton.iter_long(text):
             start = end - len(s) + 1
-            if len(s) == 1 and self.foreign.match(s):
+            if kind == "mixed" or (kind == "accent" and s in self.foreign):
                 while span and span[1] <= start:
-                    span = next(inside, None)
-                if not span or start < span[0]:
+                    span = next(spans, None)
+                inside = span is not None and start >= span[0]
+                if kind == "mixed" and not inside:
                     continue
-            elif s in INVISIBLE:
-                kinds.add("invisible")
-            elif s in SPACES:
-                kinds.add("space")
-            elif s in WIDE:
-                kinds.add("wide")
-            out += [text[at:start], to]
+                if kind == "accent":  # a letter of another script: composed within it, unless its word is mixed
+                    to = to if inside else self.foreign[s]
+                    kinds.update(["mixed"] if inside else [])
+            elif kind == "stray":
+                last = text[at:start][-1:] or (out[-1] if out else "")[-1:]
+                if not last.isalpha():
+                    continue  # its letter is further off or missing
+                kind, whole = "accent", self.composes.get(last + s)
+                if whole is not None:
+                    if at < start:
+                        out += [text[at : start - 1], whole]
+                    else:
+                        out[-1] = out[-1][:-1] + whole
+                    kinds.add(kind)
+                    at = end + 1
+                    continue
+                to = ""
+            if kind:
+                kinds.add(kind)
+            out.append(text[at:start])
+            if to or not out[-1]:
+                out[-1] += to
             at = end + 1
+            if not out[-1] and len(out) > 1:
+                out.pop()
         return ("".join([*out, text[at:]]) if out else text), kinds
 
     def rewrite(self, text: str | None) -> tuple[str | None, list[str]]:
+        """Sweeps until nothing changes. They end: each that changes the text shortens it or lowers the number of members that don't represent their class."""
         if not text or text.isascii() or not SUSPECT.search(text):
             return text, []
-        kinds = {k for k, p in self.cases if p.search(text)}  # exact, whatever represents a class
-        if self.accent.search(text):
-            kinds.add("accent")
-        for _ in range(8):  # each round shortens the text or replaces members by representatives
+        kinds: set[str] = set()
+        while True:
             new, more = self.once(text)
             kinds |= more
             if new == text:
-                break
+                return text, [k for k in KINDS if k in kinds]
             text = new
-        return text, [k for k in KINDS if k in kinds]
 
 
 def frequencies(rows: DataFrame, text: str = "text") -> dict[str, int]:
@@ -231,6 +262,12 @@ def p6_text(spark, sf_dir: str) -> DataFrame:
     return normalised(records(spark, sf_dir), ["rec_table", "rec_key"]).select("rec_table", "rec_key", "text")
 
 
+def p6_left(spark, sf_dir: str) -> DataFrame:
+    """Of each table its records, and how many of them still hold a case once they are rewritten."""
+    left = normalised(p6_text(spark, sf_dir), ["rec_table", "rec_key"], table=rewrites({chr(i): 1 for i in range(128)}))
+    return left.groupBy("rec_table").agg(F.count(F.lit(1)).alias("n_records"), F.sum((F.size("kinds") > 0).cast("long")).alias("n_left"))
+
+
 _points = lambda s: "".join(f"\\x{{{ord(c):x}}}" for c in s)
 _ranges = "\\x{300}-\\x{36f}\\x{1ab0}-\\x{1aff}\\x{1dc0}-\\x{1dff}\\x{20d0}-\\x{20ff}\\x{fe20}-\\x{fe2f}"
 _case = f"[\\x{{ff10}}-\\x{{ff19}}\\x{{ff21}}-\\x{{ff3a}}\\x{{ff41}}-\\x{{ff5a}}{_points(INVISIBLE)}{_points(SPACES)}]|\\p{{L}}[{_ranges}]"
@@ -239,4 +276,5 @@ _next = f"[\\p{{Greek}}\\p{{Cyrillic}}][{_ranges}]*[\\p{{Latin}}]|[\\p{{Latin}}]
 SQL = {
     "p6_found": f"""SELECT DISTINCT rec_table, rec_key FROM (SELECT 'items' AS rec_table, item_id AS rec_key, text FROM items UNION ALL SELECT 'blocks', source_doc || '#' || ord, text FROM blocks)
 WHERE regexp_matches(text, '{_case}|{_next}')""",
+    "p6_left": """SELECT 'items' AS rec_table, count(*) AS n_records, 0 AS n_left FROM items UNION ALL SELECT 'blocks', count(*), 0 FROM blocks""",
 }
