@@ -1,7 +1,7 @@
 """Problem 3: records that differ only in white space, letter case, punctuation or field order.
 
 Method. Columns are dictionary-encoded: each distinct raw value is canonicalised once (however many rows hold it), each
-distinct canonical value gets an integer - its smallest position (entry, field) in the collection, which is unique and
+distinct canonical value gets an integer - its rank among all of them, counted over range partitions, which is unique and
 the same on every run, also when a lost executor's work is done again - and a record becomes the sorted tuple of
 (field name, integer). Grouping and joins then move these compact tuples only. Values and tuples that hold a large share
 of the rows are looked up through a size-bounded broadcast (operators.skew.heavy_lookup).
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.operators.scan import row_numbers
 from folioforge.operators.skew import heavy_lookup
 from folioforge.session import written
 
@@ -20,10 +21,6 @@ FIELDS = {"reading": ["word", "pos", "meaning"], "forms": ["base", "base_pos", "
 NOISE = r"(?U)[\s\p{Z}\x1c-\x1f\p{P}]+"
 
 
-#: Places are entry_id x this + the field's place in its record; entry_id must stay below 2^53 and be unique over all lists.
-MOST_FIELDS = 1024
-
-
 def canonical(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, NOISE, ""))
 
@@ -53,24 +50,24 @@ def encoded(entries: DataFrame) -> DataFrame:
 
     Null values and values with nothing but white space and punctuation don't appear in the tuple; a record without any other
     has the empty tuple, and all of these are copies of each other. Of a field named twice in one record the value with the smallest integer counts. Rows
-    repeated exactly count once; records without entry_id are left out, having no identity.
+    repeated exactly count once; rows of one entry_id that differ are records of their own; records without entry_id are left out, having no identity.
     """
-    entries = entries.where("entry_id is not null")
-    each = entries.select("entry_id", "list", F.posexplode("fields").alias("pos", "f")).where("f.value is not null")
-    cells = each.select("entry_id", "list", F.col("f.name").alias("name"), F.col("f.value").alias("raw"), (F.col("entry_id") * MOST_FIELDS + F.col("pos")).alias("place"))
-    cells = written(cells, "cells")
+    entries = entries.where("entry_id is not null").select("entry_id", "list", F.xxhash64("fields").alias("rec"), "fields")
+    each = entries.select("entry_id", "list", "rec", F.explode("fields").alias("f")).where("f.value is not null")
+    cells = written(each.select("entry_id", "list", "rec", F.col("f.name").alias("name"), F.col("f.value").alias("raw")), "cells")
     total = cells.count()
-    raws = cells.groupBy("raw").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")).withColumn("canon", canonical(F.col("raw")))
+    raws = cells.groupBy("raw").agg(F.count(F.lit(1)).alias("n")).withColumn("canon", canonical(F.col("raw")))
     raws = written(raws.where("canon <> ''"), "raws")
     size = raws.count()
-    ids = raws.groupBy("canon").agg(F.count(F.lit(1)).alias("forms"), F.min("place").alias("id"))
+    ids = row_numbers(raws.groupBy("canon").agg(F.count(F.lit(1)).alias("forms")).withColumn("all", F.lit(0)), "all", ["canon"], "id").select("canon", "forms", F.col("id").cast("long").alias("id"))
     dictionary = heavy_lookup(raws.select("raw", "n", "canon"), ids, ["canon"], "forms", size).select("raw", "n", "id")
-    coded = heavy_lookup(cells, dictionary, ["raw"], "n", total).select("entry_id", "list", F.struct("name", "id").alias("c"))
-    tuples = coded.groupBy("entry_id", "list").agg(F.sort_array(F.collect_set("c")).alias("t"))
+    coded = heavy_lookup(cells, dictionary, ["raw"], "n", total).select("entry_id", "list", "rec", F.struct("name", "id").alias("c"))
+    tuples = coded.groupBy("entry_id", "list", "rec").agg(F.sort_array(F.collect_set("c")).alias("t"))
     once = F.filter("t", lambda x, i: (i == 0) | (F.get("t", i - 1)["name"] != x["name"]))
-    tuples = tuples.select("entry_id", "list", once.alias("tuple"))
+    tuples = tuples.select("entry_id", "list", "rec", once.alias("tuple"))
     none = F.array().cast("array<struct<name:string,id:bigint>>")
-    return entries.select("entry_id", "list").distinct().join(tuples, ["entry_id", "list"], "left").withColumn("tuple", F.coalesce("tuple", none))
+    every = entries.select("entry_id", "list", "rec").distinct().join(tuples, ["entry_id", "list", "rec"], "left")
+    return every.select("entry_id", "list", F.coalesce("tuple", none).alias("tuple"))
 
 
 def copies(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +88,7 @@ def pairs_found(entries: DataFrame) -> DataFrame:
     members, classes = copies(entries)
     several = classes.where("n > 1")
     joined = heavy_lookup(members, several, ["list", "tuple"], "n", members.count())
-    return joined.where("entry_id > first").select(F.col("first").alias("entry_a"), F.col("entry_id").alias("entry_b"))
+    return joined.where("entry_id > first").select(F.col("first").alias("entry_a"), F.col("entry_id").alias("entry_b")).distinct()
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:

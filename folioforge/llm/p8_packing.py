@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.vocab import TOKENIZERS, Counter, read_ranks
 from folioforge.session import written
 
-SALTS = 64
+ROWS_A_SALT, MOST_SALTS = 500_000, 1024
 
 
 def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
@@ -147,21 +147,23 @@ def slots(patterns: list[tuple[dict[int, int], int]], shift: int) -> tuple[np.nd
     return a[:, 0].copy(), a[:, 1].copy(), a[:, 2].copy()
 
 
-def pack(lengths: DataFrame, capacity: int = 2048, salts: int = SALTS) -> DataFrame:
+def pack(lengths: DataFrame, capacity: int = 2048, salts: int | None = None) -> DataFrame:
     """(doc_id, part, tokens, container): where each document goes, given (doc_id, tokens).
 
     A document longer than the capacity is split into full parts and the rest, parts 0, 1, ...; any other is part 0. Rows
     with no tokens (null and empty texts) aren't placed. Repeated rows are documents of their own. Containers are numbered from 0. An
-    empty table gives none.
+    empty table gives none. A length's documents are ranked in `salts` parts, by default one for each ROWS_A_SALT documents in all, MOST_SALTS at the most.
     """
     parts = lengths.where("tokens > 0").select(
         "doc_id",
         F.posexplode(F.expr(f"transform(sequence(0, cast((tokens - 1) div {capacity} as int)), i -> least({capacity}L, tokens - i * {capacity}L))")).alias("part", "tokens"),
     )
-    parts = written(parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(salts)).cast("int")), "parts")
+    parts = written(parts, "parts")
+    salts = salts or max(1, min(MOST_SALTS, parts.count() // ROWS_A_SALT))
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(salts)).cast("int"))
     counted = parts.groupBy("tokens", "salt").count().collect()  # at most capacity x salts rows
     hist = np.zeros(capacity + 1, np.int64)
-    first: dict[tuple[int, int], int] = {}
+    first = np.zeros((capacity + 1, salts), np.int64)
     for r in sorted(counted, key=lambda r: (r.tokens, r.salt)):
         first[r.tokens, r.salt] = int(hist[r.tokens])
         hist[r.tokens] += r["count"]
@@ -173,7 +175,7 @@ def pack(lengths: DataFrame, capacity: int = 2048, salts: int = SALTS) -> DataFr
         first, (keys, base, mult) = sent.value
         for b in batches:
             tokens, salt, rank = (b.column(i).to_numpy() for i in (2, 3, 4))
-            rank = rank + np.fromiter((first[x] for x in zip(tokens.tolist(), salt.tolist())), np.int64, len(rank))
+            rank = rank + first[tokens, salt]
             at = np.searchsorted(keys, tokens << shift | rank, "right") - 1
             container = base[at] + (rank - (keys[at] & (1 << shift) - 1)) // mult[at]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(container)], names=["doc_id", "part", "tokens", "container"])

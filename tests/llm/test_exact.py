@@ -179,6 +179,13 @@ def test_p3_fields(spark):
     assert p3.pairs_found(entries.where("false")).count() == 0
 
 
+def test_p3_many_fields_and_repeated_ids(spark):
+    wide = [{"name": f"f{k}", "value": f"v{k}"} for k in range(2000)]
+    rows = [(1, "l", wide), (2, "l", wide[::-1]), (3, "l", wide[:-1]), (7, "l", [{"name": "a", "value": "x"}]), (7, "l", [{"name": "a", "value": "y"}]), (8, "l", [{"name": "a", "value": "Y!"}]), (9, "l", [{"name": "a", "value": "xy"}])]
+    entries = spark.createDataFrame(rows, "entry_id long, list string, fields array<struct<name:string,value:string>>")
+    assert sorted(map(tuple, p3.pairs_found(entries).collect())) == [(1, 2), (7, 8)]
+
+
 # ---- 6
 
 
