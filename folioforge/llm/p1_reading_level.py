@@ -2,7 +2,8 @@
 
 Method. A linear pairwise ranker (logistic loss on the difference of two graded texts) over syntax features - lengths of sentences and
 clauses, subordination, inversion, passive and punctuation - and vocabulary features - word length, syllables,
-derivational endings, variety, and hashed words, from which it learns which words are hard. Isotonic regression turns scores into the
+derivational endings, variety, and hashed words, from which it learns which words are hard. Options, numbered lines and greetings are left out of
+them - unless nothing else is there -, and their share is a feature. Isotonic regression turns scores into the
 levels of the labels. The ranker is fitted on the driver on at most `most` labelled items, chosen by a hash of their id; every
 item of the corpus is then scored on its whole text in one pass without a shuffle.
 """
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.p6_lookalike import SUSPECT, Rewriter, rewrites
 from folioforge.llm.vocab import Memo
+from folioforge.operators.skew import hash_sample
 
 MOST_LABELLED = 8000
 HASHED = 1024
-DENSE = 26
+DENSE = 27
 _word = re.compile("[a-z]+(?:['’-][a-z]+)*").findall
 _latin = re.compile("[A-Za-z]")
 _cjk = re.compile("[一-鿿]")
@@ -64,9 +66,10 @@ class Features:
 
     def vector(self, text: str) -> np.ndarray:
         body = _option.sub(" ", text)
-        if len(body) < 0.3 * len(text):
-            body = text
+        share = len(body) / len(text)
         words = _word(body.lower())
+        if not words:  # nothing but options
+            body, words = text, _word(text.lower())
         if not words:
             return np.zeros(DENSE + HASHED, np.float32)
         n = len(words)
@@ -77,7 +80,7 @@ class Features:
         sizes = np.sort(sizes[sizes > 5]) if (sizes > 5).any() else np.array([len(body)])
         commas = body.count(",")
         dense = [
-            m[0], np.sqrt(max(0.0, m[1] - m[0] ** 2)), *m[2:], len(set(words)) / n, np.log(sizes.mean()), np.log((sizes[(len(sizes) - 1) // 2] + sizes[len(sizes) // 2]) / 2), np.log(sizes[-1]), np.log(sizes[len(sizes) // 4]), np.log(sizes[3 * len(sizes) // 4]),
+            share, m[0], np.sqrt(max(0.0, m[1] - m[0] ** 2)), *m[2:], len(set(words)) / n, np.log(sizes.mean()), np.log((sizes[(len(sizes) - 1) // 2] + sizes[len(sizes) // 2]) / 2), np.log(sizes[-1]), np.log(sizes[len(sizes) // 4]), np.log(sizes[3 * len(sizes) // 4]),
             commas / n, body.count(";") / n, body.count('"') / n, body.count("?") / n, body.count("-") / n, commas / len(sizes), np.log(1 + n),
         ]
         return np.concatenate([dense, np.sqrt(np.bincount(t[:, 13].astype(np.int64), minlength=HASHED) / n)]).astype(np.float32)
@@ -138,9 +141,9 @@ class Model:
 
 
 def graded(items: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors and mean levels of at most `most` labelled English items, the first by a hash of item_id."""
+    """Vectors and mean levels of about `most` labelled English items, chosen by a hash of item_id."""
     means = labels.where("read_level between 1 and 6 and item_id is not null").groupBy("item_id").agg(F.avg("read_level").alias("y"))
-    some = means.orderBy(F.xxhash64("item_id"), "item_id").limit(most)
+    some = hash_sample(means, ["item_id"], most)
     rows = items.select("item_id", "text").join(F.broadcast(some), "item_id").groupBy("item_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
     def run(batches):
@@ -149,7 +152,7 @@ def graded(items: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tu
             out = [(y, v.tolist()) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (v := f.english(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in out], pa.float64()), pa.array([v for _, v in out], pa.list_(pa.float32()))], names=["y", "v"])
 
-    got = rows.select("text", "y").mapInArrow(run, "y double, v array<float>").toArrow()  # at most `most` rows
+    got = rows.select("text", "y").mapInArrow(run, "y double, v array<float>").toArrow()  # about `most` rows
     x = got["v"].combine_chunks().flatten().to_numpy().reshape(len(got), -1) if len(got) else np.zeros((0, DENSE + HASHED))
     return x.astype(np.float64), got["y"].to_numpy()
 

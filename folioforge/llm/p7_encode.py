@@ -1,18 +1,20 @@
 """Problem 7: the corpus encoded with a public tokenizer, by reuse of content-defined chunks.
 
 Method. Over the UTF-8 bytes of a batch a rolling hash of the last 16 bytes marks chunk ends by content (vectorised),
-so that a passage shared by several documents falls into the same chunks wherever it stands. Chunks that occur in
-several documents are encoded once per worker (a memo bounded in bytes). A chunk end may lie within a token; so the
-join of two chunks is re-encoded from the last place before it to the first place after it where the encoding is
-certain to agree with that of the whole text - white space after a printable ASCII character, where no piece of the
-tokenizer's splitter can span - which may widen over whole chunks. What lies between two such places is the same in any
-context, so the result is that of encoding the whole text.
-
-There is no shuffle: at 100 TB moving the texts to find equal chunks across executors costs more than encoding them.
+so that a passage shared by several documents falls into the same chunks wherever it stands. A chunk is encoded by itself, once
+in a worker for all documents that share it as long as the memo, bounded in bytes, holds it; the chunks that went longest unasked go first. A chunk end
+may lie within a token; so the join of two chunks is repaired: the text from a place before it to a place after it is re-encoded, both
+chosen where the encoding is certain to agree with that of the whole text - white space after a printable ASCII character, where no piece of the
+tokenizer's splitter can span - and is widened to the next such places, over whole chunks if need be, until tokens of the chunks on both sides
+end and begin there too. So both sides agree exactly, and the result is that of encoding the whole text.
+
+There is no shuffle; README has the measured costs of sharing chunks across workers.
 """
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,44 +29,53 @@ def _gear() -> np.ndarray:
 
 
 def chunk_ends(buf: np.ndarray, bits: int = 8) -> np.ndarray:
-    """Positions after which a chunk ends: where the hash of the last 16 bytes has `bits` zero bits (chunks of 2^bits bytes on average)."""
+    """Positions after which a chunk ends: where the hash of the last 16 bytes has `bits` zero bits (chunks of 2^bits bytes on average), between characters."""
     h, w = _gear()[buf], 1
     while w < WINDOW:
         g = h.copy()
         g[w:] += h[:-w] << np.uint32(w)
         h, w = g, 2 * w
-    return np.flatnonzero((h >> np.uint32(32 - bits)) == 0) + 1
+    at = np.flatnonzero((h >> np.uint32(32 - bits)) == 0) + 1
+    at = at[at < len(buf)]
+    while len(at) and (inside := (buf[at] & 0xC0) == 0x80).any():
+        at = at + inside
+        at = at[at < len(buf)]
+    return np.unique(at)
 
 
-def pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int = 8) -> np.ndarray:
-    """Bounds of the pieces - chunk interiors and re-encoded joins, in turn - of documents that lie at starts..ends of `buf`."""
-    cuts = chunk_ends(buf, bits)
-    sure = np.flatnonzero(((buf[1:] == 32) | (buf[1:] == 10)) & (buf[:-1] > 32) & (buf[:-1] < 127)) + 1
-    sure = np.union1d(sure, np.concatenate([starts, ends]))  # a document's ends are certain too
-    cuts = cuts[cuts <= sure[-1]] if len(sure) else cuts[:0]
-    before, after = sure[np.searchsorted(sure, cuts, "right") - 1], sure[np.searchsorted(sure, cuts, "left")]
-    return np.unique(np.concatenate([starts, ends, before, after]))
+def certain(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places where no token can span: before white space after a printable ASCII character, and the documents' ends."""
+    return np.union1d(np.flatnonzero(((buf[1:] == 32) | (buf[1:] == 10)) & (buf[:-1] > 32) & (buf[:-1] < 127)) + 1, np.concatenate([starts, ends]))
 
 
 class ChunkEncoder:
-    """Ids of batches of texts. `encoded` counts the pieces that weren't in the memo."""
+    """Ids of batches of texts. `encoded` counts the chunks that weren't in the memo, `chunks` all."""
 
     def __init__(self, ranks: dict[bytes, int], bits: int = 8, most: int = MEMO_BYTES):
         self.encoder, self.bits, self.most = Encoder(ranks), bits, most
-        self.memo: dict[bytes, bytes] = {}
-        self.held = self.encoded = 0
-
-    def of(self, piece: bytes) -> bytes:
-        ids = self.memo.get(piece)
-        if ids is None:
-            ids = self.encoder.bytes_of(piece.decode())
-            self.encoded += 1
-            if self.held > self.most:
-                self.memo.clear()
-                self.held = 0
-            self.memo[piece] = ids
-            self.held += len(piece) + len(ids) + 150
-        return ids
+        longest = max(ranks.values()) + 1
+        self.sizes = np.zeros(longest, np.int32)
+        for token, i in ranks.items():
+            self.sizes[i] = len(token)
+        self.memo: dict[bytes, tuple] = {}
+        self.older: dict[bytes, tuple] = {}
+        self.held = self.encoded = self.chunks = 0
+
+    def of(self, chunk: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The chunk's ids by itself, and where tokens begin and end."""
+        self.chunks += 1
+        got = self.memo.get(chunk)
+        if got is None:
+            got = self.older.pop(chunk, None)
+            if got is None:
+                ids = np.frombuffer(self.encoder.bytes_of(chunk.decode()), np.int32)
+                got = ids, np.concatenate([[0], np.cumsum(self.sizes[ids])])
+                self.encoded += 1
+            if 2 * self.held > self.most:
+                self.older, self.memo, self.held = self.memo, {}, 0
+            self.memo[chunk] = got
+            self.held += len(chunk) + 12 * len(got[0]) + 300
+        return got
 
     def batch(self, texts: pa.Array) -> pa.ListArray:
         """One list of ids for each text, empty for null and empty texts."""
@@ -75,14 +86,52 @@ class ChunkEncoder:
             return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int32)), pa.array([], pa.int32()))
         whole = memoryview(data)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
-        bounds = pieces(np.frombuffer(whole, np.uint8), offsets[:-1], offsets[1:], self.bits)
-        raw = bytes(whole)
-        at = bounds.tolist()
-        got = [self.of(raw[a:b]) for a, b in zip(at, at[1:])]
-        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))]) // 4
-        first = sizes[np.searchsorted(bounds, offsets)]
-        values = np.frombuffer(b"".join(got), np.int32)
-        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, pa.int32()))
+        buf, raw = np.frombuffer(whole, np.uint8), bytes(whole)
+        sure = certain(buf, offsets[:-1], offsets[1:])
+        bounds = np.union1d(chunk_ends(buf, self.bits), offsets)  # chunks, none over two documents
+        edges, places = bounds.tolist(), sure.tolist()
+        low = np.searchsorted(sure, bounds[:-1], "left").tolist()  # a chunk's first certain place
+        high = (np.searchsorted(sure, bounds[1:], "right") - 1).tolist()  # and its last
+        out, at, size = [], 0, 0  # all before `at` is encoded, in `size` ids
+        pieces, counts = [0], [0]
+        for k in range(len(edges) - 1):
+            first, last = low[k], high[k]
+            if first >= last:
+                continue  # no two certain places within: left to the repair of joins
+            begin = edges[k]
+            ids, ends = self.of(raw[begin : edges[k + 1]])
+            i, j = np.searchsorted(ends, (places[first] - begin, places[last] - begin)).tolist()
+            while first < last and ends[i] != places[first] - begin:  # the chunk's tokens don't begin there: widen
+                first += 1
+                i = int(np.searchsorted(ends, places[first] - begin))
+            while first < last and ends[j] != places[last] - begin:
+                last -= 1
+                j = int(np.searchsorted(ends, places[last] - begin))
+            if first >= last:
+                continue
+            if at < places[first]:
+                size += self.repaired(raw, at, places[first], offsets, out, pieces, counts, size)
+            out.append(ids[i:j])
+            size += j - i
+            at = places[last]
+            pieces.append(at)
+            counts.append(size)
+        if at < edges[-1]:
+            size += self.repaired(raw, at, edges[-1], offsets, out, pieces, counts, size)
+        first = np.array(counts)[np.searchsorted(np.array(pieces), offsets)]
+        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))
+
+    def repaired(self, raw: bytes, a: int, b: int, offsets: np.ndarray, out: list, pieces: list, counts: list, size: int) -> int:
+        """Re-encodes a..b, document by document, onto `out`; how many ids that gives."""
+        inner = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "left")].tolist()
+        n = 0
+        for x, y in pairwise([a, *inner, b]):
+            ids = np.frombuffer(self.encoder.bytes_of(raw[x:y].decode()), np.int32)
+            out.append(ids)
+            n += len(ids)
+            pieces.append(y)
+            counts.append(size + n)
+        return n
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", bits: int = 8) -> DataFrame:

@@ -30,16 +30,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Memo(dict):
-    """Values of `make`, kept for short keys up to a bound of entries, then forgotten."""
+    """Values of `make`, kept for short keys; beyond `most` entries those go that weren't asked for since the last half of them came."""
 
     def __init__(self, make, most: int = 300_000, longest: int = 48):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
-            if len(self) >= self.most:
+            if 2 * len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
