@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,3 +132,49 @@ def explanation_lines(questions: Column) -> Column:
         return F.concat_ws("\n", head, F.when(q["reason"] != "", q["reason"]), notes)
 
     return F.array_join(F.transform(questions, one), "\n")
+
+
+# The fields of a score, of an analysis (scalars and lists), and the marks that selection weighs.
+_WHO = ("item_id", "source_doc", "section", "item_label")
+_TOPIC, _WHY = ("topic", "topic_category"), ("selection_reason", "classroom_suggestion")
+_MARKS = ("novelty_score", "difficulty_score", "vocabulary_value_score", "grammar_value_score", "exam_value_score")
+_SCORED = (*_TOPIC, *_MARKS, "writing_angle_novelty_score", "recommendation_score", "best_fit_selection_bucket", "score_summary", *_WHY)
+_ANALYSED = (*_TOPIC, *_MARKS, "recommendation_score", "best_fit_selection_bucket", *_WHY)
+_LISTS = (
+    "core_high_frequency_words", "familiar_words_new_meanings", "difficult_or_low_frequency_words", "topic_words", "word_formation_and_grammar", "long_difficult_sentences", "exam_skills", "main_difficulty_sources",
+)
+
+
+def _flat(rows: DataFrame, record: str, own: tuple[str, ...], told: tuple[str, ...]) -> list[Column]:
+    """Columns `own`, from the row or else the JSON object in `record`, and `told` from the object; absent and null ones are ''. Anything but an object tells nothing."""
+    fields = F.from_json(rows[record], "map<string,string>")
+    get = lambda name: F.try_element_at(fields, F.lit(name))
+    has = lambda name: rows[name].cast("string") if name in rows.columns else F.lit(None).cast("string")
+    return [*(F.coalesce(has(c), get(c), F.lit("")).alias(c) for c in own), *(F.coalesce(get(c), F.lit("")).alias(c) for c in told)]
+
+
+def _score_columns(rows: DataFrame, score: str) -> list[Column]:
+    who = _flat(rows, score, _WHO, _SCORED)
+    shown = F.coalesce(rows["display_section"], F.lit("")) if "display_section" in rows.columns else F.lit("")
+    return [*who[:3], shown.alias("display_section"), *who[3:]]
+
+
+def flat_score(rows: DataFrame, score: str = "score") -> DataFrame:
+    """The 18 columns of a scored item: who it is, its display name, and the fields of the JSON object in `score`; blanks for what is missing."""
+    return rows.select(*_score_columns(rows, score))
+
+
+def flat_analysis(rows: DataFrame, analysis: str = "analysis") -> DataFrame:
+    """The 15 scalars of an older analysis and its 8 lists as JSON text; blanks for what is missing."""
+    return rows.select(*_flat(rows, analysis, _WHO, (*_ANALYSED, *_LISTS)))
+
+
+def shortlist_row(rows: DataFrame, score: str = "score", local: str = "selection_score") -> DataFrame:
+    """What a shortlist tells of each item: flat_score with the section by its display name, if it has one, and the score the selection gave."""
+    kept = rows.select(*_score_columns(rows, score), F.coalesce(rows[local].cast("string"), F.lit("")).alias("local_selection_score"))
+    return kept.withColumn("section", F.coalesce(F.nullif("display_section", F.lit("")), "section")).drop("display_section")
+
+
+def row_mode(mode: Column, item: Column, modes: tuple[str, str]) -> Column:
+    """Which of two modes, (by item, by paper), made a row: what it says, or else its shape: rows by item name one."""
+    return F.when(mode.isin(*modes), mode).when(F.coalesce(item, F.lit("")) != "", F.lit(modes[0])).otherwise(F.lit(modes[1]))

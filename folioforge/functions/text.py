@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space, Unicode's included, so that Java, Python and RE2 agree.
 WS = r"[\s\x0b\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -26,11 +30,20 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def unescaped(c: Column) -> Column:
+    """HTML's entities, named and numbered, resolved. Only texts with an ampersand leave the JVM."""
+    some = F.contains(c, F.lit("&"))
+    return F.when(some, _unescaped(F.when(some, c))).otherwise(c)
+
+
 def inline(c: Column) -> Column:
-    """Common HTML entities resolved, no-break spaces plain, runs of blanks one, at most one empty line, stripped."""
-    for entity, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(to))
-    c = F.regexp_replace(F.replace(c, F.lit("\u00a0"), F.lit(" ")), r"[ \t]+", " ")
+    """HTML entities resolved, no-break spaces plain, runs of blanks one, at most one empty line, stripped."""
+    c = F.regexp_replace(F.replace(unescaped(c), F.lit("\u00a0"), F.lit(" ")), r"[ \t]+", " ")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 

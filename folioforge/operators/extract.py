@@ -5,16 +5,21 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from folioforge.functions.text import strip
 from folioforge.rules import DEFAULT, RulePack
 
 # How answer keys write ranges, single answers, words and runs of answers.
 _RANGES = [r"(\d+)\s*[-—]\s*(\d+)\s*[.．]?\s*([A-G]+)", r"(\d+)\s*~\s*(\d+)\s*[.．]?\s*([A-G]+)", r"(\d+)\s*--\s*(\d+)\s*[.．]?\s*([A-G]+)"]
 _SINGLE = r"(?U)(?<!\d)(\d+)\s*[.．]\s*([A-G])\b(?!\s*[.．])"
-_WORDS = r"(?m)(5[6-9]|6[0-5])\s*[.．]\s*(.+?)(?=\s*(?:5[6-9]|6[0-5])\s*[.．]|$)"
+_WORDS = r"(5[6-9]|6[0-5])\s*[.．]\s*([^\n]+?)(?=\s*(?:5[6-9]|6[0-5])\s*[.．]|$)"
+_TOKEN = r"(5[6-9]|6[0-5])\s*[.．]\s*(\S+)"
 _GLUED = r"(?<!\d)(5[6-9]|6[0-5])\s*\."
-_RUN = r"(?m)^\s*(\d{1,2})\s*[-—~－–]+\s*(\d{1,2})\s*[.．、:：]?\s*([A-G]{2,})(?:$|[^0-9A-Za-z_一-鿿])"
+_RUN = r"(?m)^\s*(\d{1,2})\s*[-—~－–]+\s*(\d{1,2})\s*[.．、:：]?\s*([A-G]{2,})(?=$|[^0-9A-Za-z_一-鿿])"
+
+# What marks one question's explanation, and what a sheet for students must not hold.
+EXPLAINED = r"【\d+题详解】"
+FORBIDDEN = {"source": r"来源[：:]", "explanation": r"【导语】|【\d+题详解】|【详解】", "model essay": r"参考范文|One possible version", "markdown": r"\*\*"}
 
 
 def _groups(text: Column, pattern: str, n: int) -> Column:
@@ -29,28 +34,30 @@ def answer_letters(docs: DataFrame, key: str, text: str) -> DataFrame:
     text. Letters beyond a range are dropped, a short run fills its first numbers. Numbers too large for an int, null and empty texts
     give no row.
     """
-    out = None
-    for rank, pattern in enumerate([*_RANGES, _SINGLE]):
+    def told(rank: int, pattern: str) -> Column:
         single = pattern == _SINGLE
-        found = docs.select(docs[key].alias(key), F.posexplode(_groups(docs[text], pattern, 2 if single else 3)).alias("pos", "m"))
-        first = F.col("m._1").try_cast("int")
-        if single:
-            one = found.select(key, F.lit(rank).alias("rank"), "pos", F.lit(0).alias("off"), first.alias("number"), F.col("m._2").alias("answer"))
-        else:
-            size = F.least(F.length("m._3"), F.col("m._2").try_cast("int") - first + 1)
-            spread = found.select(key, "pos", first.alias("first"), F.col("m._3").alias("letters"), size.alias("size")).where("size > 0")
-            one = spread.select(key, F.lit(rank).alias("rank"), "pos", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("off"), "first", "letters")
-            one = one.select(key, "rank", "pos", "off", (F.col("first") + F.col("off")).alias("number"), F.substring("letters", F.col("off") + 1, F.lit(1)).alias("answer"))
-        out = one if out is None else out.unionByName(one)
-    return out.where("number is not null").groupBy(key, "number").agg(F.min_by("answer", F.struct("rank", "pos", "off")).alias("answer"))
+        one = lambda m, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), m["_1"].try_cast("int").alias("first"), m["_1" if single else "_2"].try_cast("int").alias("last"), m["_2" if single else "_3"].alias("letters"))
+        return F.transform(_groups(docs[text], pattern, 2 if single else 3), one)
+
+    every = [told(k, p) for k, p in enumerate([*_RANGES, _SINGLE])]
+    each = docs.select(docs[key].alias(key), F.explode(F.concat(*every)).alias("m")).select(key, "m.*")
+    size = F.least(F.length("letters"), F.col("last") - F.col("first") + 1)
+    one = each.withColumn("size", size).where("size > 0").withColumn("off", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    one = one.select(key, "rank", "pos", "off", (F.col("first") + F.col("off")).alias("number"), F.substring("letters", F.col("off") + 1, F.lit(1)).alias("answer"))
+    return one.groupBy(key, "number").agg(F.min_by("answer", F.struct("rank", "pos", "off")).alias("answer"))
 
 
 def answer_words(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, number, answer): words for the numbers 56 to 65, also where they are glued to the next number; the first of a number counts."""
+    """(key, number, answer): words for the numbers 56 to 65, also where they are glued to the next number; the first of a number counts.
+
+    An answer ends at the next number or with the text. A number that has none so - its line ends before either - takes the token after it. Signs at an answer's end are
+    taken off; of a token nothing may be left.
+    """
     spaced = F.regexp_replace(docs[text], _GLUED, " $1. ")
-    found = docs.select(docs[key].alias(key), F.posexplode(_groups(spaced, _WORDS, 2)).alias("pos", "m"))
-    word = F.regexp_replace(F.trim(F.col("m._2")), r"[\s,，;；.。]+$", "")
-    return found.select(key, "pos", F.col("m._1").cast("int").alias("number"), word.alias("answer")).where("answer <> ''").groupBy(key, "number").agg(F.min_by("answer", "pos").alias("answer"))
+    told = lambda c, pattern, rank: F.transform(_groups(c, pattern, 2), lambda m, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), m["_1"].cast("int").alias("number"), F.regexp_replace(strip(m["_2"]), r"[.,;，。；、]+$", "").alias("answer")))
+    words = F.filter(told(spaced, _WORDS, 0), lambda m: m["answer"] != "")
+    found = docs.select(docs[key].alias(key), F.explode(F.concat(words, told(docs[text], _TOKEN, 1))).alias("m")).select(key, "m.*")
+    return found.groupBy(key, "number").agg(F.min_by("answer", F.struct("rank", "pos")).alias("answer"))
 
 
 def all_answers(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -59,20 +66,42 @@ def all_answers(docs: DataFrame, key: str, text: str) -> DataFrame:
     return both.groupBy(key, "number").agg(F.min_by("answer", "rank").alias("answer"))
 
 
+def valid_runs(text: Column) -> Column:
+    """ARRAY<STRUCT<first, last, letters>>: runs at the start of a line with exactly one letter for each number."""
+    found = F.transform(_groups(text, _RUN, 3), lambda m: F.struct(m["_1"].cast("int").alias("first"), m["_2"].cast("int").alias("last"), m["_3"].alias("letters")))
+    return F.filter(found, lambda m: (m["last"] > m["first"]) & (F.length(m["letters"]) == m["last"] - m["first"] + 1))
+
+
 def answer_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, run, first, last, letters): runs at the start of a line with exactly one letter for each number; run counts from 1."""
-    found = docs.select(docs[key].alias(key), F.posexplode(_groups(docs[text], _RUN, 3)).alias("pos", "m"))
-    m = found.select(key, "pos", F.col("m._1").cast("int").alias("first"), F.col("m._2").cast("int").alias("last"), F.col("m._3").alias("letters"))
-    good = m.where("last > first and length(letters) = last - first + 1")
-    return good.select(key, F.row_number().over(Window.partitionBy(key).orderBy("pos")).alias("run"), "first", "last", "letters")
+    """(key, run, first, last, letters): the valid runs of each row's text; run counts from 1."""
+    found = docs.select(docs[key].alias(key), F.posexplode(valid_runs(docs[text])).alias("pos", "m"))
+    return found.select(key, (F.col("pos") + 1).alias("run"), "m.first", "m.last", "m.letters")
+
+
+def answer_leaks(text: Column) -> Column:
+    """ARRAY<STRING>: what in a question's text gives answers away: 'key 21-23 CBC' for the first valid run, 'explained' for a question's explanation. Null gives none."""
+    run = F.get(valid_runs(text), F.lit(0))
+    key = F.when(run.isNotNull(), F.concat(F.lit("key "), run["first"].cast("string"), F.lit("-"), run["last"].cast("string"), F.lit(" "), run["letters"]))
+    return F.array_compact(F.array(key, F.when(F.rlike(text, F.lit(EXPLAINED)), F.lit("explained"))))
+
+
+def forbidden(text: Column) -> Column:
+    """ARRAY<STRING>: what a finished sheet for students must not hold: FORBIDDEN by name, then answer_leaks. Null gives none."""
+    return F.concat(F.array_compact(F.array(*(F.when(F.rlike(text, F.lit(p)), F.lit(n)) for n, p in FORBIDDEN.items()))), answer_leaks(text))
+
+
+def assert_clean(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """`docs`, if no text holds anything forbidden; else an error that names the first such row met and what it holds. It is raised where the rows are read."""
+    found = forbidden(docs[text])
+    said = F.concat(F.lit("not clean: "), docs[key].cast("string"), F.lit(": "), F.array_join(found, ", "))
+    return docs.where(F.when(F.size(found) == 0, F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
 
 
 def missing_stems(items: DataFrame, rules: RulePack = DEFAULT) -> DataFrame:
     """(item_id, number): question numbers of the item's section without a line `N.` in its text; only sections with numbers. Null texts miss all."""
-    ranges = F.create_map(*(x for s, (a, b) in rules.ranges.items() if s.startswith("reading") for x in (F.lit(s), F.sequence(F.lit(a), F.lit(b)))))
-    each = items.select("item_id", "text", F.explode(F.element_at(ranges, F.col("section"))).alias("number"))
-    stem = F.concat(F.lit(r"(?m)^[ \t　]*"), F.col("number").cast("string"), F.lit("[.．、]"))
-    return each.where(~F.coalesce(F.rlike("text", stem), F.lit(False))).select("item_id", "number")
+    ranges = F.create_map(*(x for s, (a, b) in rules.ranges.items() if s.startswith("reading") for x in (F.lit(s), F.transform(F.sequence(F.lit(a), F.lit(b)), lambda n: n.cast("string")))))
+    stems = F.coalesce(F.regexp_extract_all(items["text"], F.lit(r"(?m)^[ \t　]*(\d+)[.．、]"), F.lit(1)), F.array().cast("array<string>"))
+    return items.select("item_id", F.explode(F.array_except(F.element_at(ranges, items["section"]), stems)).alias("n")).select("item_id", F.col("n").cast("int").alias("number"))
 
 
 def table_cells(docs: DataFrame, key: str, html: str) -> DataFrame:

@@ -6,12 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioforge.functions.text import number_or_zero
+
 
 def top_of(rows: DataFrame, group: str, by: list[Column], n: int) -> DataFrame:
     """The first n rows of each group with their rank. `by` must order rows of a group fully. The optimiser cuts each task's rows to n before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*by))).where(F.col("rank") <= n)
 
 
+# What each mark weighs in the selection, by section; None stands for any other section.
+WEIGHTS: dict[str | None, dict[str, float]] = {
+    "reading_a": {"novelty": 3, "recommendation": 1.5, "exam": 1, "vocabulary": 0.5},
+    "reading_b": {"difficulty": 3, "exam": 1.5, "vocabulary": 1, "grammar": 0.5},
+    "reading_c": {"difficulty": 2, "novelty": 2, "exam": 1, "grammar": 0.5},
+    "reading_d": {"difficulty": 2, "novelty": 2, "exam": 1, "grammar": 0.5},
+    "gap_filling": {"novelty": 2, "exam": 1.5, "difficulty": 1, "recommendation": 1},
+    "cloze": {"novelty": 2, "exam": 1.5, "difficulty": 1, "recommendation": 1},
+    "grammar": {"grammar": 2, "novelty": 1.5, "exam": 1, "difficulty": 0.5},
+    "practical_writing": {"writing": 2, "novelty": 1.5, "exam": 1, "recommendation": 1},
+    "continuation_writing": {"writing": 2, "novelty": 1.5, "exam": 1, "recommendation": 1},
+    None: {"recommendation": 1, "novelty": 1, "difficulty": 1, "exam": 1},
+}
+
+
+def selection_score(section: Column, marks: dict[str, Column], weights: dict[str | None, dict[str, float]] = WEIGHTS) -> Column:
+    """The weighted sum of an item's marks by its section. marks: name to column, of any type; what is no number counts as 0."""
+    number = {k: number_or_zero(c) for k, c in marks.items()}
+    total = lambda w: sum((number[k] * F.lit(float(v)) for k, v in w.items()), F.lit(0.0))
+    out = F.when(F.lit(False), F.lit(0.0))
+    for name, w in weights.items():
+        if name is not None:
+            out = out.when(section == name, total(w))
+    return out.otherwise(total(weights[None]))
+
+
 def keep_some(rows: DataFrame, group: str, good: Column) -> DataFrame:
     """Rows that are good, and all rows of groups that have no good one."""
     has = rows.groupBy(group).agg(F.max(F.coalesce(good, F.lit(False))).alias("__some"))

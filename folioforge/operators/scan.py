@@ -44,3 +44,10 @@ def row_numbers(rows: DataFrame, key: str, order: list[str], out: str) -> DataFr
     """`rows` with `out`: their place among the rows of the key in `order`, from 1; hot keys span partitions as in forward_fill."""
     local = lambda w: F.row_number().over(w)
     return _carried(rows, key, order, local, F.count(F.lit(1)), lambda m, w: F.sum(m).over(w), out, lambda n, m: n + F.coalesce(m, F.lit(0)))
+
+
+def running_sum(rows: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
+    """`rows` with `out`: the sum of `value` over the rows of the key before this one in `order`, 0 for the first; hot keys span partitions as in forward_fill."""
+    n = F.coalesce(F.col(value), F.lit(0))
+    local = lambda w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return _carried(rows, key, order, local, F.sum(n), lambda m, w: F.sum(m).over(w), out, lambda a, m: a + F.coalesce(m, F.lit(0)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from folioforge.functions.text import strip
+from folioforge.functions.text import strip, token_estimate
 from folioforge.operators.scan import forward_fill, row_numbers
 from folioforge.rules import DEFAULT, RulePack
 from folioforge.session import written
@@ -79,17 +79,39 @@ def packed(text: Column, most: int) -> Column:
     A line longer than that is a chunk of its own. Null gives null, a blank text no chunk.
     """
     kept = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
+    return _greedy(kept, lambda x: F.length(x) + 1, most + 1, "\n")
 
-    def step(a: Column, x: Column) -> Column:
-        flush = (F.size(a["open"]) > 0) & (a["n"] + F.length(x) > most)
+
+def _greedy(parts: Column, size, most: int, between: str) -> Column:
+    """ARRAY<STRING>: consecutive parts joined, a chunk closed when the next part's size would take its sizes' sum beyond `most`."""
+    none = F.array().cast("array<string>")
+    sized = F.transform(parts, lambda x: F.struct(x.alias("x"), size(x).cast("int").alias("n")))
+    closed = lambda a: F.concat(a["done"], F.array(F.array_join(a["open"], between)))
+
+    def step(a: Column, p: Column) -> Column:
+        flush = (F.size(a["open"]) > 0) & (a["n"] + p["n"] > most)
         return F.struct(
-            F.when(flush, F.concat(a["done"], F.array(F.array_join(a["open"], "\n")))).otherwise(a["done"]).alias("done"),
-            F.when(flush, F.array(x)).otherwise(F.concat(a["open"], F.array(x))).alias("open"),
-            (F.when(flush, F.lit(0)).otherwise(a["n"]) + F.length(x) + 1).alias("n"),
+            F.when(flush, closed(a)).otherwise(a["done"]).alias("done"),
+            F.when(flush, F.array(p["x"])).otherwise(F.concat(a["open"], F.array(p["x"]))).alias("open"),
+            (F.when(flush, F.lit(0)).otherwise(a["n"]) + p["n"]).alias("n"),
         )
 
-    return F.aggregate(kept, start, step, lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(F.array_join(a["open"], "\n")))).otherwise(a["done"]))
+    start = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("n"))
+    return F.aggregate(sized, start, step, lambda a: F.when(F.size(a["open"]) > 0, closed(a)).otherwise(a["done"]))
+
+
+def token_chunks(text: Column, budget: int, least: int = 2000, count=token_estimate) -> Column:
+    """ARRAY<STRING>: a text that fits a conversation's budget of tokens whole, else pieces of at most a fifth of it (`least` tokens at the least), as the conversation holds all
+    pieces and their replies.
+
+    Pieces are paragraphs, put together greedily with an empty line between; a paragraph too large by itself goes in line by line, and a line is never split. count: tokens of a
+    text column. Null gives null, a blank text no piece.
+    """
+    most, whole = max(budget // 5, least), strip(text)
+    paragraphs = F.filter(F.transform(F.split(whole, r"\n\s*\n"), strip), lambda x: x != "")
+    lines = lambda p: F.filter(F.transform(F.split(p, "\n"), strip), lambda x: x != "")
+    parts = F.flatten(F.transform(paragraphs, lambda p: F.when(count(p) <= most, F.array(p)).otherwise(lines(p))))
+    return F.when(whole.isNull(), F.lit(None)).when(whole == "", F.array().cast("array<string>")).when(count(whole) <= budget, F.array(whole)).otherwise(_greedy(parts, count, most, "\n\n"))
 
 
 def groups_of(df: DataFrame, key: str, order: str, size: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioforge.functions.reply import usage_record
 from folioforge.functions.text import contained, merged_pos, sense_key, senses, strip
 from folioforge.rules import DEFAULT, RulePack
 
@@ -22,6 +23,24 @@ def usage_by(ledger: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def usage_or_older(ledger: DataFrame, replies: DataFrame, keys: tuple[str, ...] = ("stage", "model"), default: str = "?") -> DataFrame:
+    """usage_by over the ledger, or, where it has no line, over what older runs kept: replies (stage, model, usage) with the vendor's usage record as JSON text.
+
+    Null keys are `default`; replies without a usage object are left out.
+    """
+    named = [F.coalesce(F.nullif(F.col(k), F.lit("")), F.lit(default)).alias(k) for k in keys]
+    if ledger.limit(1).count():
+        return usage_by(ledger.select(*named, *(c for c in ledger.columns if c not in keys)), *keys)
+    u = replies.where(F.rlike("usage", F.lit(r"^\s*\{"))).select(*named, usage_record(F.col("usage")).alias("u"))
+    old = u.select(*keys, F.col("u.prompt").alias("prompt_tokens"), F.col("u.hit").alias("cache_hit"), F.col("u.miss").alias("cache_miss"), F.col("u.output").alias("completion_tokens"), F.lit(0.0).alias("seconds"))
+    return usage_by(old, *keys)
+
+
+def undefined(used: DataFrame, defined: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): names that a key uses and doesn't define, once each; null names use nothing."""
+    return used.where(F.col(name).isNotNull()).select(key, name).distinct().join(defined.select(key, name).distinct(), [key, name], "left_anti")
+
+
 def written_once(ledger: DataFrame, seq: str = "seq") -> DataFrame:
     """The ledger without lines that repeat another but for their sequence number; the smallest stays."""
     return ledger.groupBy(*(c for c in ledger.columns if c != seq)).agg(F.min(seq).alias(seq))

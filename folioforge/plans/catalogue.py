@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
-MODULES = ("ranking", "texts", "segments", "tables", "streams")
+MODULES = ("ranking", "texts", "segments", "tables", "records", "streams")
 
 
 def query(sql: str | None) -> Callable:

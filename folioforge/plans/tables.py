@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import number_or_zero
 from folioforge.operators import relate, summary
 from folioforge.plans.catalogue import query, table
 from folioforge.rules import DEFAULT
@@ -64,14 +65,15 @@ def greedy_pairs(spark, d):
     return relate.one_to_one(pairs, "paper", "answers", "score")
 
 
-@query("""WITH i AS (SELECT item_id, min(source_doc) AS source_doc, min(text) AS text FROM items GROUP BY 1), l AS (SELECT item_id, source_doc, trim(unnest(string_split(text, chr(10)))) AS line FROM i), g AS (SELECT * FROM l WHERE length(line) >= 8),
-h AS (SELECT item_id, count(*) AS n_lines, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM blocks b WHERE b.source_doc = g.source_doc AND trim(b.text) = g.line)) AS hits FROM g GROUP BY 1)
-SELECT item_id, n_lines, hits FROM h WHERE hits >= greatest(2, n_lines * 0.5)""")
+@query("""WITH b AS (SELECT DISTINCT source_doc, ord, trim(text) AS line FROM blocks WHERE text IS NOT NULL), g AS (SELECT source_doc, source_doc || '#' || CAST(ord // 12 AS VARCHAR) AS part, line FROM b WHERE length(line) >= 8),
+k AS (SELECT DISTINCT source_doc, line FROM b WHERE ord % 12 < 3 + (ord // 12) % 7), h AS (SELECT part, count(*) AS n_lines, count(k.line) AS hits FROM g LEFT JOIN k USING (source_doc, line) GROUP BY 1)
+SELECT part, n_lines, hits FROM h WHERE hits >= greatest(2, n_lines * 0.5)""")
 def line_match(spark, d):
-    items = table(spark, d, "items").groupBy("item_id").agg(F.min("source_doc").alias("source_doc"), F.min("text").alias("text"))
-    lines = items.select("source_doc", "item_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
-    blocks = table(spark, d, "blocks").select("source_doc", F.trim("text").alias("line"))
-    return relate.matched_lines(lines, blocks, "source_doc", "item_id", "line")
+    """Parts of papers, twelve lines each, of which half stand among the paper's lines that were kept: the first three to nine of each part."""
+    b = table(spark, d, "blocks").where("text is not null").select("source_doc", "ord", F.trim("text").alias("line")).distinct()
+    lines = b.select("source_doc", F.concat("source_doc", F.lit("#"), F.floor(F.col("ord") / 12).cast("string")).alias("part"), "line")
+    kept = b.where(F.col("ord") % 12 < 3 + F.floor(F.col("ord") / 12) % 7).select("source_doc", "line")
+    return relate.matched_lines(lines, kept, "source_doc", "part", "line")
 
 
 @query("""SELECT source_doc, CASE WHEN first_answer_pos <= greatest(400, text_length * 0.15) AND coalesce(question_segments, 0) <= 3 THEN 'answers' WHEN question_segments > 0 THEN CASE WHEN answer_start IS NOT NULL OR first_answer_pos IS NOT NULL THEN 'both' ELSE 'paper' END
@@ -90,14 +92,14 @@ def doc_kind(spark, d):
 @query("SELECT item_id, coalesce(TRY_CAST(wordish_count AS DOUBLE), 0) AS words FROM (SELECT DISTINCT item_id, wordish_count FROM items) WHERE coalesce(wordish_count, 0) < 100")
 def low_counts(spark, d):
     items = table(spark, d, "items").select("item_id", "wordish_count").distinct()
-    return items.select("item_id", F.coalesce(F.col("wordish_count").cast("double"), F.lit(0.0)).alias("words")).where("words < 100")
+    return items.select("item_id", number_or_zero(F.col("wordish_count")).alias("words")).where("words < 100")
 
 
 @query("SELECT source_doc, section FROM (SELECT source_doc, s AS section FROM papers, (VALUES " + ", ".join(f"('{s}')" for s in DEFAULT.order) + ") v(s)) EXCEPT SELECT source_doc, section FROM items")
 def missing_sections(spark, d):
     """Sections that a paper should have and hasn't: a set difference."""
     wanted = table(spark, d, "papers").select("source_doc", F.explode(F.array(*(F.lit(s) for s in DEFAULT.order))).alias("section"))
-    return wanted.exceptAll(wanted.where("false")).subtract(table(spark, d, "items").select("source_doc", "section"))
+    return wanted.subtract(table(spark, d, "items").select("source_doc", "section"))
 
 
 @query("SELECT source_doc, char_start, section FROM (SELECT source_doc, char_start, section, row_number() OVER (PARTITION BY source_doc, char_start ORDER BY rank DESC, section DESC) AS r FROM (SELECT source_doc, char_start, 'heading' AS section, 0 AS rank FROM blocks WHERE label IN ('doc_title', 'title', 'paragraph_title') UNION ALL SELECT source_doc, char_start, 'stem', 1 FROM blocks WHERE regexp_matches(text, '^\\d{2}[.]'))) WHERE r = 1")

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from folioforge.operators.scan import running_sum
 
 BLOCKS = "source_doc string, ord int, body_index int, kind string, text string, char_start int, char_end int, error string"
 LEDGER = "seq long, ts double, stage string, item_id string, provider string, model string, thinking string, effort string, prompt_tokens long, cache_hit long, cache_miss long, completion_tokens long, reasoning_tokens long, seconds double"
@@ -120,24 +121,23 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recognised_blocks(lines: DataFrame) -> DataFrame:
-    """(doc, place, page, label, text) of recogniser output: rows (doc, line, body), body a JSON result with layoutParsingResults / prunedResult / parsing_res_list.
+    """(doc, place, page, seq, label, text) of recogniser output: rows (doc, line, body), body a JSON result with layoutParsingResults / prunedResult / parsing_res_list.
 
-    Pages count on over the lines of a document. Furniture is dropped. Within a page a block's rank is twice its block_order; one without order comes right
-    after the block before it. `place` is page x 10,000 + rank.
+    Pages count on over the lines of a document. Furniture is dropped first. Within a page a block's rank is twice its block_order; one without order comes right
+    after the block before it, the first at 1. `place` is page x 10,000 + rank; seq, the block's position among those of the page, orders blocks of one place. Null labels
+    are text, null contents empty.
     """
     block = "struct<block_label:string,block_content:string,block_order:int>"
     result = f"struct<result:struct<layoutParsingResults:array<struct<prunedResult:struct<parsing_res_list:array<{block}>>>>>>"
     parsed = lines.select("doc", "line", F.from_json("body", result)["result"]["layoutParsingResults"].alias("pages"))
-    before = F.coalesce(F.sum(F.size("pages")).over(Window.partitionBy("doc").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pages = parsed.withColumn("before", before).select("doc", "before", F.posexplode("pages").alias("p", "r"))
-    blocks = pages.select("doc", (F.col("before") + F.col("p")).alias("page"), F.posexplode("r.prunedResult.parsing_res_list").alias("i", "b"))
-    w = Window.partitionBy("doc", "page").orderBy("i")
-    seen = F.last(F.col("b.block_order") * 2, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    anchor = F.last(F.when(F.col("b.block_order").isNotNull(), F.col("i")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rank = F.when(F.col("b.block_order").isNotNull(), F.col("b.block_order") * 2).otherwise(F.coalesce(seen, F.lit(-1)) + F.col("i") - F.coalesce(anchor, F.lit(-1)) * 1)
-    rank = F.when(seen.isNull(), F.col("i")).otherwise(rank)
-    out = blocks.withColumn("rank", rank).select("doc", (F.col("page") * 10000 + F.col("rank")).alias("place"), "page", F.col("b.block_label").alias("label"), F.col("b.block_content").alias("text"))
-    return out.where(~F.coalesce(F.col("label").isin(*FURNITURE), F.lit(False)))
+    sized = parsed.select("doc", "line", F.greatest(F.size("pages"), F.lit(0)).alias("size"), "pages")
+    pages = running_sum(sized, "doc", ["line"], "size", "before").select("doc", "before", F.posexplode("pages").alias("p", "r"))
+    kept = F.filter("r.prunedResult.parsing_res_list", lambda b: ~F.coalesce(b["block_label"].isin(*FURNITURE), F.lit(False)))
+    none = F.array().cast("array<int>")
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0))
+    ranks = F.aggregate(kept, none, lambda a, b: F.concat(a, F.array(F.coalesce(b["block_order"] * 2, last(a) + 1))))
+    blocks = pages.select("doc", (F.col("before") + F.col("p")).alias("page"), F.posexplode(F.arrays_zip(kept.alias("b"), ranks.alias("rank"))).alias("seq", "x"))
+    return blocks.select("doc", (F.col("page") * 10000 + F.col("x.rank")).alias("place"), "page", "seq", F.coalesce("x.b.block_label", F.lit("text")).alias("label"), F.coalesce("x.b.block_content", F.lit("")).alias("text"))
 
 
 def content_list(rows: DataFrame) -> DataFrame:
