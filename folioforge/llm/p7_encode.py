@@ -13,6 +13,7 @@ There is no shuffle; README has the measured costs of sharing chunks across work
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from itertools import pairwise
 
 import numpy as np
@@ -53,29 +54,27 @@ class ChunkEncoder:
 
     def __init__(self, ranks: dict[bytes, int], bits: int = 8, most: int = MEMO_BYTES):
         self.encoder, self.bits, self.most = Encoder(ranks), bits, most
-        longest = max(ranks.values()) + 1
-        self.sizes = np.zeros(longest, np.int32)
+        self.sizes = [0] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.sizes[i] = len(token)
-        self.memo: dict[bytes, tuple] = {}
-        self.older: dict[bytes, tuple] = {}
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = self.encoded = self.chunks = 0
 
-    def of(self, chunk: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The chunk's ids by itself, and where tokens begin and end."""
+    def of(self, chunk: bytes) -> bytes:
+        """The chunk's ids by itself."""
         self.chunks += 1
-        got = self.memo.get(chunk)
-        if got is None:
-            got = self.older.pop(chunk, None)
-            if got is None:
-                ids = np.frombuffer(self.encoder.bytes_of(chunk.decode()), np.int32)
-                got = ids, np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        ids = self.memo.get(chunk)
+        if ids is None:
+            ids = self.older.pop(chunk, None)
+            if ids is None:
+                ids = self.encoder.bytes_of(chunk.decode())
                 self.encoded += 1
             if 2 * self.held > self.most:
                 self.older, self.memo, self.held = self.memo, {}, 0
-            self.memo[chunk] = got
-            self.held += len(chunk) + 12 * len(got[0]) + 300
-        return got
+            self.memo[chunk] = ids
+            self.held += len(chunk) + len(ids) + 150
+        return ids
 
     def batch(self, texts: pa.Array) -> pa.ListArray:
         """One list of ids for each text, empty for null and empty texts."""
@@ -89,46 +88,53 @@ class ChunkEncoder:
         buf, raw = np.frombuffer(whole, np.uint8), bytes(whole)
         sure = certain(buf, offsets[:-1], offsets[1:])
         bounds = np.union1d(chunk_ends(buf, self.bits), offsets)  # chunks, none over two documents
-        edges, places = bounds.tolist(), sure.tolist()
+        edges, places, docs = bounds.tolist(), sure.tolist(), offsets.tolist()
         low = np.searchsorted(sure, bounds[:-1], "left").tolist()  # a chunk's first certain place
         high = (np.searchsorted(sure, bounds[1:], "right") - 1).tolist()  # and its last
         out, at, size = [], 0, 0  # all before `at` is encoded, in `size` ids
-        pieces, counts = [0], [0]
+        pieces, counts, sizes = [0], [0], self.sizes
         for k in range(len(edges) - 1):
             first, last = low[k], high[k]
             if first >= last:
                 continue  # no two certain places within: left to the repair of joins
-            begin = edges[k]
-            ids, ends = self.of(raw[begin : edges[k + 1]])
-            i, j = np.searchsorted(ends, (places[first] - begin, places[last] - begin)).tolist()
-            while first < last and ends[i] != places[first] - begin:  # the chunk's tokens don't begin there: widen
-                first += 1
-                i = int(np.searchsorted(ends, places[first] - begin))
-            while first < last and ends[j] != places[last] - begin:
-                last -= 1
-                j = int(np.searchsorted(ends, places[last] - begin))
+            begin, ids = edges[k], self.of(raw[edges[k] : edges[k + 1]])
+            token = memoryview(ids).cast("i")
+            i, pos, j, end = 0, begin, len(token), edges[k + 1]
+            while pos != places[first] or end != places[last]:  # until tokens begin and end at the places, which are moved in where they don't
+                if pos < places[first]:
+                    pos += sizes[token[i]]
+                    i += 1
+                elif pos > places[first]:
+                    first += 1
+                elif end > places[last]:
+                    j -= 1
+                    end -= sizes[token[j]]
+                else:
+                    last -= 1
+                if first >= last:
+                    break
             if first >= last:
                 continue
             if at < places[first]:
-                size += self.repaired(raw, at, places[first], offsets, out, pieces, counts, size)
-            out.append(ids[i:j])
+                size += self.repaired(raw, at, places[first], docs, out, pieces, counts, size)
+            out.append(ids[4 * i : 4 * j])
             size += j - i
             at = places[last]
             pieces.append(at)
             counts.append(size)
         if at < edges[-1]:
-            size += self.repaired(raw, at, edges[-1], offsets, out, pieces, counts, size)
+            size += self.repaired(raw, at, edges[-1], docs, out, pieces, counts, size)
         first = np.array(counts)[np.searchsorted(np.array(pieces), offsets)]
-        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(np.frombuffer(b"".join(out), np.int32), pa.int32()))
 
-    def repaired(self, raw: bytes, a: int, b: int, offsets: np.ndarray, out: list, pieces: list, counts: list, size: int) -> int:
+    def repaired(self, raw: bytes, a: int, b: int, offsets: list[int], out: list, pieces: list, counts: list, size: int) -> int:
         """Re-encodes a..b, document by document, onto `out`; how many ids that gives."""
-        inner = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "left")].tolist()
+        lo, hi = bisect_right(offsets, a), bisect_left(offsets, b)
         n = 0
-        for x, y in pairwise([a, *inner, b]):
-            ids = np.frombuffer(self.encoder.bytes_of(raw[x:y].decode()), np.int32)
+        for x, y in pairwise([a, *offsets[lo:hi], b]) if lo < hi else ((a, b),):
+            ids = self.encoder.bytes_of(raw[x:y].decode())
             out.append(ids)
-            n += len(ids)
+            n += len(ids) // 4
             pieces.append(y)
             counts.append(size + n)
         return n
