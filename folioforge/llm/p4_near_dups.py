@@ -186,18 +186,19 @@ def sketched(rows: DataFrame, least: float) -> DataFrame:
                     for c in classes[:, 0].tolist():
                         fresh.append(c not in seen)
                         seen.add(c)
-                    keys = band_keys(signatures[fresh], bands, per).reshape(-1)
-                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(bands * f for f in fresh)]), pa.int32()), pa.array(keys))
+                    keys = band_keys(signatures[fresh], bands, per).reshape(-1).astype(np.int32)  # their lower halves; the band's number makes up for the rest
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(bands * f for f in fresh)]), pa.int32()), pa.array(keys), mask=pa.array([not f for f in fresh]))
                     n = np.array([len(sets[k]) for k in at], np.int64)
                     numbers = [classes[:, 0], classes[:, 1], n, *bits(signatures).T]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *(pa.array(np.ascontiguousarray(c)) for c in numbers), lists], names=["id", "cls", "cls2", "n", "b0", "b1", "b2", "b3", "keys"])
 
-    return rows.mapInArrow(run, "id string, cls long, cls2 long, n long, b0 long, b1 long, b2 long, b3 long, keys array<long>")
+    return rows.mapInArrow(run, "id string, cls long, cls2 long, n long, b0 long, b1 long, b2 long, b3 long, keys array<int>")
 
 
 def class_links(rows: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity): pairs of classes, a < b, whose similarity is at least `least`, verified on the texts. rows: (id, text)."""
-    bands = sketches.select(F.explode("keys").alias("key"), "cls").repartition("key").distinct()  # by the partitioning that the join needs
+    each = sketches.where("keys is not null").select(F.posexplode("keys").alias("band", "key"), "cls")
+    bands = each.select((F.col("band") * F.lit(1 << 32) + F.col("key")).alias("key"), "cls").repartition("key").distinct()  # by the partitioning that the join needs
     near = bands.alias("x").join(bands.alias("y"), F.expr("x.key = y.key and x.cls < y.cls")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     one = sketches.groupBy("cls").agg(F.min_by(F.struct("id", "n", "b0", "b1", "b2", "b3"), "id").alias("s"))
     x, y = one.select(F.col("cls").alias("a"), F.col("s").alias("x")), one.select(F.col("cls").alias("b"), F.col("s").alias("y"))
