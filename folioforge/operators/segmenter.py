@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from folioforge.functions.text import strip
 from folioforge.operators.extract import all_answers, lines
 from folioforge.operators.segment import in_order, packed, slices
+from folioforge.operators.scan import forward_fill
 from folioforge.rules import DEFAULT, RulePack
 
 
@@ -93,16 +94,21 @@ def between(text: Column, start: str, end: str, stops: list[str]) -> Column:
 def above_junk(blocks: DataFrame, key: str, order: str, text: str, cuts: DataFrame, at: str, junk: str) -> DataFrame:
     """`cuts` (key, at) moved up over blank and junk lines: the row after the last line before `at` that is neither; 0 if there is none."""
     good = blocks.where(~F.coalesce(F.rlike(text, F.lit(junk)) | (F.trim(text) == ""), F.lit(True))).select(key, F.col(order).alias("__o"))
-    last = cuts.select(key, at).join(good, key, "left").groupBy(key, at).agg(F.max(F.when(F.col("__o") < F.col(at), F.col("__o"))).alias("__last"))
-    return last.select(key, at, F.coalesce(F.col("__last") + 1, F.lit(0)).alias("moved"))
+    marks = good.select(key, F.col("__o").cast("long").alias("__pos"), F.lit(1).alias("__kind"), F.col("__o").cast("long").alias("__mark"))
+    asked = cuts.select(key, F.col(at).cast("long").alias("__pos"), F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("__mark")).distinct()
+    filled = forward_fill(marks.unionByName(asked), key, ["__pos", "__kind"], "__mark", "__last").where("__kind = 0")
+    kind = cuts.schema[at].dataType
+    return filled.select(key, F.col("__pos").cast(kind).alias(at), F.coalesce(F.col("__last") + 1, F.lit(0)).cast("int").alias("moved"))
 
 
-def body_text(spans: DataFrame, blocks: DataFrame, key: str, index: str, text: str, low: str, high: str, order: str) -> DataFrame:
+def body_text(spans: DataFrame, blocks: DataFrame, key: str, index: str, text: str, low: str, high: str, order: str, width: int = 64) -> DataFrame:
     """`spans` with body: the texts of the key's blocks with low <= index < high in order, joined by newlines; '' for none.
 
-    A semi-join by interval: the blocks of a span are gathered, which is what a segment is.
+    Spans meet blocks by buckets of `width` indices, so that a key with very many of both isn't joined all with all. The blocks of a span are gathered, which is what a segment is.
     """
-    s = spans.select(key, low, high).distinct()
-    hit = s.join(blocks.select(key, F.col(index).alias("__i"), F.col(order).alias("__o"), F.col(text).alias("__t")), key).where((F.col("__i") >= F.col(low)) & (F.col("__i") < F.col(high)))
+    bucket = lambda c: F.floor(c / width).cast("long")
+    s = spans.select(key, low, high).distinct().where(F.col(low) < F.col(high)).withColumn("__b", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high) - 1))))
+    told = blocks.select(key, F.col(index).alias("__i"), F.col(order).alias("__o"), F.col(text).alias("__t")).withColumn("__b", bucket(F.col("__i")))
+    hit = s.join(told, [key, "__b"]).where((F.col("__i") >= F.col(low)) & (F.col("__i") < F.col(high)))
     body = hit.groupBy(key, low, high).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__o", "__t"))), lambda x: x["__t"]), "\n").alias("body"))
     return spans.join(body, [key, low, high], "left").withColumn("body", F.coalesce("body", F.lit("")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import number_or_zero
 from folioforge.operators import relate, summary
+from folioforge.operators.scan import running_sum
 from folioforge.plans.catalogue import query, table
 from folioforge.rules import DEFAULT
 from folioforge.sources.model import Client, answered
@@ -274,9 +275,8 @@ def running_page_offset(spark, d):
 
     b = table(spark, d, "ocr_blocks").distinct()
     pages = b.groupBy("source_doc", "page").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("block_order").isNull()).alias("byid"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy("source_doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(Window.partitionBy("source_doc", "page").orderBy(F.when(F.col("byid"), 0).otherwise(F.col("block_order")), "block_id"))
-    return b.join(pages.withColumn("before", before), ["source_doc", "page"]).select("block_id", (F.col("before") + place).alias("place"))
+    return b.join(running_sum(pages, "source_doc", ["page"], "c", "before"), ["source_doc", "page"]).select("block_id", (F.col("before") + place).alias("place"))
 
 
 @query("SELECT source_doc, coalesce((SELECT min(a.source_doc) FROM papers a WHERE a.kind = 'answers' AND a.source = p.source), source_doc) AS target FROM papers p WHERE kind = 'paper'")
